@@ -6,13 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrid.llm.nearest import nearest_in_time
+from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
-from talkgrid.tables import table
+from talkgrid.tables import once, table
 
 R = Registry()
 
 NEAREST_SEC = 8.0
+MOMENT_SEC = 5.0
+
+
+def _gold(spark, directory) -> DataFrame:
+    """dev_gold with the split's spelling evened out and the moment of the first span."""
+    gold = table(spark, directory, "dev_gold")
+    split = F.lower(F.trim(F.col("split")))
+    first = F.get(F.col("gold_spans"), 0)
+    place = F.when(first.isNull(), F.struct(F.lit("none").alias("kind"), F.col("video_id").alias("v")))
+    place = place.otherwise(F.struct(F.lit("span").alias("kind"), F.coalesce(first["video_id"], F.col("video_id")).alias("v")))
+    out = gold.select("id", "question", "curator", split.alias("split"), F.when(split.isin("dev", "test"), True).when(split == "train", False).alias("is_eval"), place.alias("place"), first["start_sec"].alias("at"))
+    return out.select("*", F.col("place.kind").alias("kind"), F.col("place.v").alias("v")).filter(~((F.col("kind") == "span") & F.col("at").isNull())).drop("place")
+
+
+def _overlaps(spark, directory) -> DataFrame:
+    return cross_split_overlaps(_gold(spark, directory), "id", "question", "is_eval", ["kind", "v"], "at", MOMENT_SEC)
+
+
+@R.query()
+def p1_found(spark, directory) -> DataFrame:
+    """Pairs of an evaluation and a training record that ask the same about the same moment."""
+    pairs = _overlaps(spark, directory)
+    return pairs.select(F.least("e_id", "t_id").alias("id_a"), F.greatest("e_id", "t_id").alias("id_b")).filter("id_a < id_b").distinct()
+
+
+@R.query()
+def p1_report(spark, directory) -> DataFrame:
+    """Per evaluation split and source: records, records that overlap, and overlapping pairs."""
+    gold = _gold(spark, directory).filter("is_eval").select(F.col("id").alias("e_id"), "split", "curator").distinct()
+    hits = _overlaps(spark, directory).groupBy("e_id").agg(F.count("*").alias("pairs"))
+    seen = gold.join(hits, "e_id", "left")
+    return seen.groupBy("split", F.col("curator").alias("source")).agg(
+        F.countDistinct("e_id").alias("eval_records"), F.countDistinct(F.when(F.col("pairs") > 0, F.col("e_id"))).alias("overlapping_records"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
 
 
 @R.query(
