@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
+from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, table
@@ -67,6 +68,45 @@ def p7_found(spark, directory) -> DataFrame:
     return near.select(F.col("left_id").alias("frame_id"), F.col("right_id").alias("chunk_id"))
 
 
+TOP = 3
+
+_LISTS_SQL = """
+WITH l0 AS (
+  SELECT query_id, channel, chunk_id, max(CASE WHEN isfinite(score) THEN score END) AS score, min(CASE WHEN rank > 0 THEN rank END) AS rank
+  FROM channel_results WHERE query_id IS NOT NULL AND channel IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT query_id, '(rerank)', chunk_id, max(CASE WHEN isfinite(rerank_score) THEN rerank_score END), NULL
+  FROM reranked_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+l1 AS (SELECT *, max(CASE WHEN score IS NOT NULL THEN rank END) OVER w AS r, count(score) OVER w AS n FROM l0 WHERE score IS NOT NULL OR rank IS NOT NULL
+       WINDOW w AS (PARTITION BY query_id, channel ORDER BY score DESC NULLS LAST)),
+l2 AS (SELECT query_id, channel, chunk_id, CAST(coalesce(rank, r + 1, n) AS DOUBLE) AS o FROM l1),
+l3 AS (SELECT *, greatest(count(*) OVER (PARTITION BY query_id, channel), max(o) OVER (PARTITION BY query_id, channel)) AS m FROM l2),
+l4 AS (SELECT query_id, channel, chunk_id, (m - o + 1) / m AS x FROM l3),
+items AS (SELECT DISTINCT query_id, chunk_id FROM l4), lists AS (SELECT DISTINCT query_id, channel FROM l4),
+g AS (SELECT i.query_id, i.chunk_id, l.channel, coalesce(x, 0) AS x FROM items i JOIN lists l USING (query_id) LEFT JOIN l4 USING (query_id, chunk_id, channel)),
+s AS (SELECT *, sum(x) OVER (PARTITION BY query_id, channel) AS sx, count(*) OVER (PARTITION BY query_id, channel) AS n FROM g),
+f AS (SELECT query_id, chunk_id, sum((n * x - sx) / greatest(n - 1, 1)) AS net FROM s GROUP BY ALL)
+"""
+
+
+def _flows(spark, directory) -> DataFrame:
+    channels = table(spark, directory, "channel_results").select("query_id", "channel", "chunk_id", "score", "rank")
+    reranked = table(spark, directory, "reranked_results").select("query_id", F.lit("(rerank)").alias("channel"), "chunk_id", F.col("rerank_score").alias("score"), F.lit(None).cast("int").alias("rank"))
+    return net_flow(channels.unionByName(reranked), "query_id", "channel", "chunk_id", "score", "rank")
+
+
+@R.query(_LISTS_SQL + "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(net, 9) DESC, chunk_id) AS p FROM f) WHERE p <= 3")
+def p5_found(spark, directory) -> DataFrame:
+    """The three first chunks of each query over all channels and the reranker."""
+    return top_items(_flows(spark, directory), "query_id", "chunk_id", TOP).select("query_id", "chunk_id")
+
+
+@R.query(_LISTS_SQL + "SELECT query_id, chunk_id, round(net + 1e-10, 6) + 0 AS net FROM f")
+def p5_ranking(spark, directory) -> DataFrame:
+    """Net flow of every candidate of every query."""
+    return _flows(spark, directory).select("query_id", "chunk_id", (F.round(F.col("net") + 1e-10, 6) + 0).alias("net"))
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
