@@ -16,8 +16,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes, from file sizes; no job runs."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
