@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.llm.ranking import net_flow, top_items
+from talkgrid.llm.splitting import split_oversized
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, table
@@ -107,6 +109,43 @@ def p5_ranking(spark, directory) -> DataFrame:
     return _flows(spark, directory).select("query_id", "chunk_id", (F.round(F.col("net") + 1e-10, 6) + 0).alias("net"))
 
 
+_TOKENS_SQL = "len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))"
+
+
+def _pieces(spark, directory) -> DataFrame:
+    return split_oversized(table(spark, directory, "chunks"), table(spark, directory, "chunk_limits"), "chunk_id", "chunking_strategy", "text", "max_tokens", "overlap_tokens")
+
+
+@R.query(f"SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (chunking_strategy) WHERE {_TOKENS_SQL} > max_tokens")
+def p6_found(spark, directory) -> DataFrame:
+    """Chunks that had to be cut."""
+    return _pieces(spark, directory).filter("piece_no = 1").select("chunk_id").distinct()
+
+
+@R.query()
+def p6_pieces(spark, directory) -> DataFrame:
+    """The pieces of all oversized chunks."""
+    return _pieces(spark, directory)
+
+
+def _leaks(spark, directory) -> DataFrame:
+    return leaked_passages(table(spark, directory, "documents"), table(spark, directory, "held_out_items"), "doc_id", "text", "item_id", "text")
+
+
+@R.query()
+def p8_found(spark, directory) -> DataFrame:
+    """Documents that repeat at least 12 consecutive words of a held-out item."""
+    return _leaks(spark, directory).select("doc_id", "item_id")
+
+
+@R.query()
+def p8_report(spark, directory) -> DataFrame:
+    """Per held-out item: the documents that repeat it and the longest run repeated."""
+    items = table(spark, directory, "held_out_items").select("item_id", "test_set").distinct()
+    leaks = _leaks(spark, directory).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
+    return items.join(leaks, "item_id", "left").select("item_id", "test_set", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
