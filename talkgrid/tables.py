@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,16 @@ def once(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> D
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(row.alias("__row")).select(*[F.col(f"`{k}`") for k in keys], *[F.col("__row")[c].alias(c) for c in rest])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of ``spark`` find this package where the driver found it.
+
+    On a cluster the package is installed or sent along (``spark.submit.pyFiles``); this only helps
+    workers that share the driver's disk.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
