@@ -9,6 +9,7 @@ from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.llm.ranking import net_flow, top_items
+from talkgrid.llm.similar import nearest_vectors
 from talkgrid.llm.splitting import split_oversized
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
@@ -71,6 +72,8 @@ def p7_found(spark, directory) -> DataFrame:
 
 
 TOP = 3
+#: Lists looked into when no least similarity narrows the search.
+WIDE_PROBES = 32
 
 _LISTS_SQL = """
 WITH l0 AS (
@@ -146,6 +149,27 @@ def p8_report(spark, directory) -> DataFrame:
     return items.join(leaks, "item_id", "left").select("item_id", "test_set", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+@R.query()
+def p3_found(spark, directory) -> DataFrame:
+    """Pairs of chunks with a cosine of at least 0.86, one among the other's five most similar."""
+    near = nearest_vectors(table(spark, directory, "dense_embeds"), "chunk_id", "dense", 5, 0.86)
+    return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+
+
+@R.query()
+def p3_neighbours(spark, directory) -> DataFrame:
+    """The five most similar chunks, whatever the similarity, of every chunk whose id is divisible by 50."""
+    near = nearest_vectors(table(spark, directory, "dense_embeds"), "chunk_id", "dense", 5, ask=F.col("chunk_id") % 50 == 0, probes=WIDE_PROBES)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("sim", 6).alias("sim"))
+
+
+@R.query()
+def p3_frames(spark, directory) -> DataFrame:
+    """The same over the pooled vectors of frames whose id is divisible by 50."""
+    near = nearest_vectors(table(spark, directory, "frame_samples"), "frame_id", "pooled_embedding", 5, ask=F.col("frame_id") % 50 == 0, probes=WIDE_PROBES)
+    return near.select(F.col("id").alias("frame_id"), "neighbour", F.round("sim", 6).alias("sim"))
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
