@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
+from talkgrid.llm.pairs import defective_pairs
 from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.llm.similar import nearest_vectors
 from talkgrid.llm.splitting import split_oversized
@@ -170,6 +171,25 @@ def p3_frames(spark, directory) -> DataFrame:
     return near.select(F.col("id").alias("frame_id"), "neighbour", F.round("sim", 6).alias("sim"))
 
 
+def _defects(spark, directory) -> DataFrame:
+    answers = once(table(spark, directory, "per_example").select("run_id", "example_id", "answer", "abstain", "parse_ok", "raw_response"), ["run_id", "example_id"])
+    gold = once(table(spark, directory, "dev_gold").select("id", "question", "question_type"), ["id"])
+    asked = gold.filter(F.coalesce(F.col("question_type"), F.lit("")) != "negative").select(F.col("id").alias("example_id"), "question")
+    return defective_pairs(answers.join(asked, "example_id"), ["run_id", "example_id"], "question", "answer", "abstain", "parse_ok", "raw_response")
+
+
+@R.query()
+def p4_found(spark, directory) -> DataFrame:
+    """Answers that do not serve their question, with the kind of defect."""
+    return _defects(spark, directory).select("run_id", "example_id", "defect")
+
+
+@R.query()
+def p4_report(spark, directory) -> DataFrame:
+    """Per run and defect: the number of answers."""
+    return _defects(spark, directory).groupBy("run_id", "defect").agg(F.count("*").alias("answers"))
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
