@@ -9,6 +9,7 @@ from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.llm.pairs import defective_pairs
+from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.llm.similar import nearest_vectors
 from talkgrid.llm.splitting import split_oversized
@@ -190,6 +191,22 @@ def p4_report(spark, directory) -> DataFrame:
     return _defects(spark, directory).groupBy("run_id", "defect").agg(F.count("*").alias("answers"))
 
 
+def _details(spark, directory) -> DataFrame:
+    return personal_details(table(spark, directory, "documents"), "doc_id", "text", table(spark, directory, "given_names"))
+
+
+@R.query()
+def p10_found(spark, directory) -> DataFrame:
+    """Personal details, one row per distinct value of a document."""
+    return _details(spark, directory).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.pii_type", "f.value").distinct()
+
+
+@R.query()
+def p10_redacted(spark, directory) -> DataFrame:
+    """Every document with its details replaced by placeholders."""
+    return _details(spark, directory).select("doc_id", F.col("redacted").alias("text"), F.size("found").alias("details"))
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
