@@ -1,0 +1,84 @@
+"""Token counts of a public byte-pair vocabulary and hashed word features."""
+
+from __future__ import annotations
+
+import base64
+import functools
+import os
+
+import numpy as np
+import xxhash
+
+from talkgrid.functions.text import words
+
+#: Where vocabulary files lie unless a parameter says otherwise.
+VOCABULARY = os.environ.get("TALKGRID_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Fixed value: the pattern that splits a text before the merges of the rank file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str):
+    """The encoder of a rank file, loaded once per process."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_counts(texts, path: str) -> list[int]:
+    """Tokens of every text; null has none."""
+    enc = encoder(path)
+    return [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
+
+
+def features(text: str | None, buckets: int) -> dict[int, float]:
+    """Square-root counts of hashed words, scaled to unit length."""
+    counts: dict[int, int] = {}
+    for w in words(text):
+        b = xxhash.xxh32_intdigest(w.encode()) % buckets
+        counts[b] = counts.get(b, 0) + 1
+    norm = sum(counts.values()) ** 0.5 or 1.0
+    return {b: c**0.5 / norm for b, c in counts.items()}
+
+
+class Domains:
+    """Softmax classifier of domains over hashed words."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray):
+        self.names, self.weights, self.bias = names, weights, bias
+
+    @classmethod
+    def fit(cls, rows: list[dict[int, float]], labels: list[str], buckets: int, rounds: int = 200, ridge: float = 1e-3) -> Domains:
+        """Full-batch gradient descent with momentum; the ridge keeps posteriors soft."""
+        names = sorted(set(labels))
+        y = np.array([names.index(x) for x in labels])
+        index = [np.fromiter(r, np.int64, len(r)) for r in rows]
+        value = [np.fromiter(r.values(), np.float64, len(r)) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(i) for i in index])
+        col = np.concatenate(index) if index else np.empty(0, np.int64)
+        val = np.concatenate(value) if value else np.empty(0)
+        used, local = np.unique(col, return_inverse=True)
+        x = np.zeros((len(rows), len(used)), np.float32)
+        x[row, local] = val
+        w, b = np.zeros((len(used), len(names)), np.float32), np.log(np.bincount(y, minlength=len(names)) / len(y)).astype(np.float32)
+        goal = np.eye(len(names), dtype=np.float32)[y]
+        speed = np.zeros_like(w)
+        for _ in range(rounds):
+            z = x @ w + b
+            z -= z.max(axis=1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(axis=1, keepdims=True)
+            speed = 0.9 * speed + x.T @ (p - goal) / len(y) + ridge * w
+            w -= 2.0 * speed
+        full = np.zeros((buckets, len(names)))
+        full[used] = w
+        return cls(names, full, b.astype(float))
+
+    def posterior(self, row: dict[int, float]) -> np.ndarray:
+        """Probability of every domain."""
+        at = np.fromiter(row, np.int64, len(row))
+        z = self.bias + (np.fromiter(row.values(), np.float64, len(row)) @ self.weights[at] if len(at) else 0.0)
+        p = np.exp(z - z.max())
+        return p / p.sum()
