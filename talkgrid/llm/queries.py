@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkgrid.llm.leakage import leaked_passages
+from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.llm.pairs import defective_pairs
@@ -207,6 +208,22 @@ def p10_redacted(spark, directory) -> DataFrame:
     return _details(spark, directory).select("doc_id", F.col("redacted").alias("text"), F.size("found").alias("details"))
 
 
+def _mix(spark, directory):
+    return mix_to_targets(table(spark, directory, "documents"), table(spark, directory, "source_targets"), "doc_id", "text", "source", "target_share", "max_repeats")
+
+
+@R.query()
+def p9_report(spark, directory) -> DataFrame:
+    """Per target source: its target, what it can give, what it gives and the share reached."""
+    return _mix(spark, directory).report
+
+
+@R.query()
+def p9_copies(spark, directory) -> DataFrame:
+    """How many times every document is taken."""
+    return _mix(spark, directory).documents
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)
