@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from talkgrid.plans import intervals
+from talkgrid.plans import captions, intervals, metrics, retrieval, upkeep
 
-MODULES = [intervals]
-FLAGSHIP = "p2_found"
+MODULES = [intervals, captions, retrieval, metrics, upkeep]
+FLAGSHIP = "rrf_fuse"
 
 
 def queries() -> dict:
