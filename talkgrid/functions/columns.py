@@ -19,13 +19,6 @@ def terms(text: Column) -> Column:
     return F.array_except(F.filter(found, lambda t: F.length(t) >= 3), stop)
 
 
-def term_list(text: Column) -> Column:
-    """As :func:`terms` with repeats."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
-
-
 def stop_sql() -> str:
     """The stop words as an SQL list."""
     return "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"

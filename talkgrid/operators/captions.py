@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,11 +25,12 @@ def parse_captions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null texts have no cues.
     """
     rows = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(F.col(text_col), r"\r?\n").alias("l"))
-    kind = lambda x: F.when(x.rlike(_STAMP), 1).when(F.array_contains(F.array(*[x.startswith(h) for h in HEADERS]), True), 2).otherwise(0)
-    rows = rows.withColumn("k", F.transform("l", kind)).withColumn("n", F.size("l"))
-    # positions of boundaries; a cue holds the lines up to the next one
-    marks = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("k", i) > 0))
-    cues = marks.select("id", "l", "k", "n", "at", F.posexplode("at").alias("j", "i")).withColumn("to", F.coalesce(F.get("at", F.col("j") + 1), F.col("n"))).filter(F.get("k", F.col("i")) == 1)
+    header = F.lit(False)
+    kind = lambda x: F.when(x.rlike(_STAMP), 1).when(reduce(lambda c, h: c | x.startswith(h), HEADERS, header), 2).otherwise(0)
+    # one pass over the lines leaves the boundaries; a cue holds the lines up to the next one
+    marks = F.filter(F.transform("l", lambda x, i: F.struct(kind(x).alias("k"), i.alias("i"))), lambda m: m["k"] > 0)
+    cues = rows.withColumn("at", marks).select("id", "l", "at", F.posexplode("at").alias("j", "m")).filter("m.k = 1")
+    cues = cues.select("id", "l", F.col("m.i").alias("i"), F.coalesce(F.get("at", F.col("j") + 1)["i"], F.size("l")).alias("to"))
     head = F.get("l", F.col("i"))
     body = F.filter(F.transform(F.slice("l", F.col("i") + 2, F.greatest(F.col("to") - F.col("i") - 1, F.lit(0))), clean_line), lambda x: x != "")
     out = cues.select("id", "i", clock_seconds(F.regexp_extract(head, _STAMP, 1)).alias("start_sec"), clock_seconds(F.regexp_extract(head, _STAMP, 2)).alias("end_sec"), body.alias("lines"))
@@ -78,28 +81,29 @@ def sentence_sessions(cues: DataFrame, target: float = 30.0, max_tokens: int = M
     Whether a cue closes depends on where the chunk began, so each text's cues are folded in order by one
     ``aggregate`` expression in its row; the remainder is a chunk as well.
     """
-    one = cues.filter("size(lines) > 0").select("id", F.struct("cue_no", "start_sec", "end_sec", F.array_join("lines", " ").alias("t")).alias("c"))
+    line = F.array_join("lines", " ")
+    one = cues.filter("size(lines) > 0").select("id", F.struct("cue_no", "start_sec", "end_sec", line.alias("t"), token_count(line).alias("n"), ends_sentence(line).alias("ends")).alias("c"))
     per = one.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("c"))
-    chunk = "struct<start_sec:double,end_sec:double,text:string,token_count:int>"
-    empty = F.struct(F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("e"), F.lit("").alias("t"), F.array().cast(f"array<{chunk}>").alias("done"))
+    # the fold carries numbers only: where the chunk began, its words, the position, and the chunks so far
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("s"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
 
     def step(acc, x):
-        start = F.coalesce(acc["s"], x["start_sec"])
-        text = F.when(acc["t"] == "", x["t"]).otherwise(F.concat_ws(" ", acc["t"], x["t"]))
-        n = token_count(text)
-        close = ((x["end_sec"] - start >= target) & ends_sentence(text)) | (n >= max_tokens)
-        done = F.concat(acc["done"], F.array(F.struct(start.alias("start_sec"), x["end_sec"].alias("end_sec"), text.alias("text"), n.cast("int").alias("token_count"))))
-        return F.struct(
-            F.when(close, F.lit(None).cast("double")).otherwise(start).alias("s"), F.when(close, F.lit(None).cast("double")).otherwise(x["end_sec"]).alias("e"),
-            F.when(close, F.lit("")).otherwise(text).alias("t"), F.when(close, done).otherwise(acc["done"]).alias("done"),
-        )
+        begun, n, i = F.coalesce(acc["s"], x["start_sec"]), acc["n"] + x["n"], acc["i"] + 1
+        close = ((x["end_sec"] - begun >= target) & x["ends"]) | (n >= max_tokens)
+        cuts = F.when(close, F.concat(acc["cuts"], F.array(i))).otherwise(acc["cuts"])
+        return F.struct(F.when(close, none).otherwise(begun).alias("s"), F.when(close, 0).otherwise(n).alias("n"), i.alias("i"), cuts.alias("cuts"))
 
+    # a last open chunk ends at the last cue
     def finish(acc):
-        rest = F.array(F.struct(acc["s"].alias("start_sec"), acc["e"].alias("end_sec"), acc["t"].alias("text"), token_count(acc["t"]).cast("int").alias("token_count")))
-        return F.when(acc["s"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], rest))
-
-    folded = per.select("id", F.posexplode(F.aggregate("c", empty, step, finish)).alias("chunk_no", "x"))
-    return folded.select("id", "chunk_no", "x.start_sec", "x.end_sec", "x.text", "x.token_count")
+        return F.when(acc["s"].isNull(), acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["i"])))
+
+    folded = per.withColumn("cuts", F.aggregate("c", start, step, finish)).select("id", "c", "cuts", F.posexplode("cuts").alias("chunk_no", "to"))
+    begin = F.when(F.col("chunk_no") == 0, 0).otherwise(F.get("cuts", F.col("chunk_no") - 1))
+    own = folded.select("id", "chunk_no", F.slice("c", begin + 1, F.col("to") - begin).alias("own"))
+    text = F.array_join(F.transform("own", lambda x: x["t"]), " ")
+    words = F.aggregate("own", F.lit(0), lambda a, x: a + x["n"])
+    return own.select("id", "chunk_no", F.element_at("own", 1)["start_sec"].alias("start_sec"), F.element_at("own", -1)["end_sec"].alias("end_sec"), text.alias("text"), words.alias("token_count"))
 
 
 def caption_quality(cues: DataFrame) -> DataFrame:

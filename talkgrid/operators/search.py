@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgrid.functions.columns import term_list, terms
+from talkgrid.functions.columns import STOP_WORDS, terms
 from talkgrid.operators.vectors import top_k
 
 K1, B = 1.2, 0.75
 
 
 def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row (id, term, tf, length) per term of a text; the count per text is done in the row."""
-    toks = texts.select(F.col(id_col).alias("id"), term_list(F.col(text_col)).alias("t")).filter("id IS NOT NULL AND size(t) > 0")
-    own = toks.select("id", F.size("t").alias("length"), "t", F.explode(F.array_distinct("t")).alias("term"))
-    return own.select("id", "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"), "length")
+    """One row (id, term, tf, length) per term of a text."""
+    rows = texts.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("([a-z0-9]{3,})"), F.lit(1)).alias("t")).filter("id IS NOT NULL")
+    # the texts are laid out by id once; counting terms and their sum need no further shuffle
+    terms_of = rows.repartition("id").select("id", F.explode("t").alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+    counts = terms_of.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
+    return counts.withColumn("length", F.sum("tf").over(W.partitionBy("id")).cast("int"))
 
 
 def match_counts(queries: DataFrame, query_id: str, query_text: str, post: DataFrame) -> DataFrame:
