@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.functions.answers import VOTES, signals
+from talkgrid.session import checkpointed
 
 DEFECTS = list(dict.fromkeys(d for d, _, _ in VOTES))
 #: Posterior from which a defect is kept, validated on spoiled copies of sound answers (tests/llm).
@@ -73,6 +74,8 @@ def defective_pairs(pairs: DataFrame, keys: list[str], question: str, answer: st
         parts[d] = at
         code = sum((F.when(F.col("__f")[i], 1 << j).otherwise(0) for j, i in enumerate(at)), F.lit(0))
         labelled = labelled.withColumn(f"__{d}", code)
+    # keys and small numbers only; the texts are looked at once
+    labelled = checkpointed(labelled.drop("__f"))
     # one small row per defect and pattern
     stacked = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"__{d}").alias("code")) for d in DEFECTS])).alias("p")
     seen = labelled.select(stacked).groupBy("p.d", "p.code").agg(F.count("*").alias("n")).collect()
