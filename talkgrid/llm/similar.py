@@ -17,11 +17,11 @@ from talkgrid.functions.onebit import Queries, encode, rotation
 #: Rows on which the list centers are fitted (a documented bound; every row is indexed).
 SAMPLE_ROWS = 20_000
 #: Lists a vector is looked up in.
-PROBES = 6
+PROBES = 8
 #: Vectors of one list in one task; longer lists are cut into blocks that meet pairwise.
 BLOCK_ROWS = 4096
 #: Width of the error bound in standard units; the chance of missing a vector falls as exp(-eps^2).
-EPS = 2.6
+EPS = 2.2
 _QUERY_CHUNK = 512
 
 
@@ -161,7 +161,7 @@ def nearest_vectors(
 
     picked = reps.orderBy(F.xxhash64("vid"), "vid").limit(sample_rows).select("vec").collect()
     sample = unit_rows(np.array([r.vec for r in picked], dtype=np.float64))
-    wanted = lists or min(4096, max(1, math.ceil(2 * math.sqrt(n))))
+    wanted = lists or min(4096, max(1, math.ceil(math.sqrt(n))))
     centers = fit_centers(sample, wanted) if len(sample) > 32 else sample[:1]
     own = np.concatenate([(sample[a : a + 4096] @ centers.T).argmax(1) for a in range(0, len(sample), 4096)])
     expected = np.bincount(own, minlength=len(centers)) * (n / len(sample))
