@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.passages import gram_hashes, longest_common_run, passage_words, winnow
+from talkgrid.llm.functions.passages import gram_hashes, longest_common_run, passage_words, winnow
 from talkgrid.tables import small
 
 #: A leak is at least this many consecutive words.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.answers import VOTES, signals
+from talkgrid.llm.functions.answers import VOTES, signals
 from talkgrid.session import checkpointed
 
 DEFECTS = list(dict.fromkeys(d for d, _, _ in VOTES))

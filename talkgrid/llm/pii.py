@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.pii import Seeds, details, redact
+from talkgrid.llm.functions.pii import Seeds, details, redact
 
 #: Given names taken to every task at most; more is an error, not a silent cut.
 MAX_GIVEN_NAMES = 200_000

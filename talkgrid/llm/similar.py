@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.onebit import Queries, encode, rotation
+from talkgrid.llm.functions.onebit import Queries, encode, rotation
 
 #: Rows on which the list centers are fitted (a documented bound; every row is indexed).
 SAMPLE_ROWS = 20_000

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkgrid.functions.splitting import split_text
+from talkgrid.llm.functions.splitting import split_text
 from talkgrid.tables import small
 
 

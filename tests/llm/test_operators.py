@@ -5,11 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrid.functions import onebit
-from talkgrid.functions.answers import VOTES, answer_in_raw, dangling_end, language, open_tail, repeats, signals, unbalanced
-from talkgrid.functions.passages import gram_hashes, longest_common_run, passage_words, winnow
-from talkgrid.functions.pii import Seeds, details, luhn, mod11_10, mod97, redact, spanish
-from talkgrid.functions.splitting import split_text, token_spans
+from talkgrid.llm.functions import onebit
+from talkgrid.llm.functions.answers import VOTES, answer_in_raw, dangling_end, language, open_tail, repeats, signals, unbalanced
+from talkgrid.llm.functions.passages import gram_hashes, longest_common_run, passage_words, winnow
+from talkgrid.llm.functions.pii import Seeds, details, luhn, mod11_10, mod97, redact, spanish
+from talkgrid.llm.functions.splitting import split_text, token_spans
 from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
