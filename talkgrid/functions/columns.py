@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: English words that carry no search weight.
 STOP_WORDS = (
-    "the and for are was were with that this from what does did how why who when where which about into than then them they their there these those "
-    "you your our his her its has have had been being can could will would should may might must not but any all some such only own same too very just talk speaker say says said"
+    "the a an is are was were be been being of to in on at for with by from up about into through during before after above below "
+    "out off over under again further then once how what why when where who which does do did done doing this that these those such "
+    "and but or nor so as also than very much many more most some any all each every between us we you he she it they i his her their "
+    "its our your my me him them"
 ).split()
 
 

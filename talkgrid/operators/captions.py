@@ -12,8 +12,8 @@ from talkgrid.functions.columns import clean_line, clock_seconds, ends_sentence,
 
 WINDOW_SEC, STRIDE_SEC, MAX_TOKENS = 30, 25, 512
 #: Prefixes of header blocks.
-HEADERS = ("WEBVTT", "NOTE", "STYLE", "REGION", "Kind:", "Language:", "X-TIMESTAMP")
-_STAMP = r"^\s*(\d{2,}:\d{2}:\d{2}\.\d{3})\s+-->\s+(\d{2,}:\d{2}:\d{2}\.\d{3})"
+HEADERS = ("WEBVTT", "Kind:", "Language:", "NOTE")
+_STAMP = r"^\s*(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
 
 
 def parse_captions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,7 +109,7 @@ def sentence_sessions(cues: DataFrame, target: float = 30.0, max_tokens: int = M
 def caption_quality(cues: DataFrame) -> DataFrame:
     """Words a minute and share of non-speech lines of each text, and whether it passes (60, 0.20)."""
     lines = cues.select("id", "start_sec", "end_sec", F.explode("lines").alias("line"))
-    marker = F.col("line").rlike(r"(?i)\[(music|applause|laughter|silence|noise)\]")
+    marker = F.col("line").rlike(r"(?i)\[(music|inaudible|applause|laughter|silence|crosstalk)\]")
     said = lines.groupBy("id").agg(F.sum(F.regexp_count("line", F.lit(r"[\w']+"))).alias("words"), F.count("*").alias("n"), F.sum(F.when(marker, 1).otherwise(0)).alias("m"))
     span = cues.groupBy("id").agg((F.max("end_sec") - F.min("start_sec")).alias("sec"))
     wpm = F.col("words") / F.greatest(F.col("sec") / 60, F.lit(1e-9))

@@ -15,10 +15,10 @@ R = Registry()
 _CUES_SQL = r"""
 WITH d AS (SELECT doc_id AS id, string_split_regex(text, '\r?\n') AS l FROM documents WHERE starts_with(text, 'WEBVTT')),
 x AS (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS line FROM d),
-k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{2,}:\d{2}:\d{2}\.\d{3}\s+-->\s+\d{2,}:\d{2}:\d{2}\.\d{3}') THEN 1
-  WHEN regexp_matches(line, '^(WEBVTT|NOTE|STYLE|REGION|Kind:|Language:|X-TIMESTAMP)') THEN 2 ELSE 0 END AS kind FROM x),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\d{2}:\d{2}:\d{2}\.\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}\.\d{3}') THEN 1
+  WHEN regexp_matches(line, '^(WEBVTT|Kind:|Language:|NOTE)') THEN 2 ELSE 0 END AS kind FROM x),
 g AS (SELECT *, sum(CASE WHEN kind > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM k),
-h AS (SELECT id, g, regexp_extract(line, '(\d{2,}:\d{2}:\d{2}\.\d{3})\s+-->\s+(\d{2,}:\d{2}:\d{2}\.\d{3})', 1) AS a, regexp_extract(line, '(\d{2,}:\d{2}:\d{2}\.\d{3})\s+-->\s+(\d{2,}:\d{2}:\d{2}\.\d{3})', 2) AS b FROM g WHERE kind = 1),
+h AS (SELECT id, g, regexp_extract(line, '(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})', 1) AS a, regexp_extract(line, '(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})', 2) AS b FROM g WHERE kind = 1),
 b AS (SELECT id, g, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(line, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\s*>>\s*', ''), '\s+', ' ', 'g')) AS line FROM g WHERE kind = 0),
 c AS (SELECT h.id, h.g, CAST(split_part(a, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(a, ':', 2) AS DOUBLE) * 60 + CAST(split_part(a, ':', 3) AS DOUBLE) AS start_sec,
   CAST(split_part(b, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(b, ':', 2) AS DOUBLE) * 60 + CAST(split_part(b, ':', 3) AS DOUBLE) AS end_sec FROM h),
@@ -101,7 +101,7 @@ def clip_rebase(spark, directory) -> DataFrame:
 @R.query(
     _CUES_SQL
     + r""", l AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM cues WHERE t <> ''),
-a AS (SELECT id, sum(len(regexp_extract_all(line, '[\w'']+'))) AS words, count(*) AS n, count(*) FILTER (regexp_matches(line, '(?i)\[(music|applause|laughter|silence|noise)\]')) AS m FROM l GROUP BY id),
+a AS (SELECT id, sum(len(regexp_extract_all(line, '[\w'']+'))) AS words, count(*) AS n, count(*) FILTER (regexp_matches(line, '(?i)\[(music|inaudible|applause|laughter|silence|crosstalk)\]')) AS m FROM l GROUP BY id),
 s AS (SELECT id, max(end_sec) - min(start_sec) AS sec FROM cues GROUP BY id)
 SELECT id AS doc_id, round(words / greatest(sec / 60, 1e-9), 3) AS words_per_minute, round(m / greatest(n, 1), 6) AS non_speech, words / greatest(sec / 60, 1e-9) >= 60 AND m / greatest(n, 1) < 0.2 AS passes FROM s JOIN a USING (id)"""
 )

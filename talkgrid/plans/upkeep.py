@@ -11,6 +11,8 @@ from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, table
 
 R = Registry()
+#: Tags of talks that need frames.
+VISUAL_TAGS = ("slides_heavy", "code_heavy", "whiteboard", "live_demo", "diagram")
 
 
 @R.query(
@@ -168,22 +170,22 @@ def repeated_pictures(spark, directory) -> DataFrame:
 
 
 @R.query(
-    """SELECT DISTINCT id, question_type, list_contains(modality, 'visual') AS visual, len(list_intersect(tags, ['slide', 'demo', 'diagram', 'code'])) > 0 AS visual_tags FROM dev_gold WHERE modality IS NOT NULL AND tags IS NOT NULL"""
+    """SELECT DISTINCT id, question_type, list_contains(modality, 'visual') AS visual, len(list_intersect(tags, ['slides_heavy', 'code_heavy', 'whiteboard', 'live_demo', 'diagram'])) > 0 AS visual_tags FROM dev_gold WHERE modality IS NOT NULL AND tags IS NOT NULL"""
 )
 def tag_overlap(spark, directory) -> DataFrame:
     """FLT-10, FLT-11, FLT-12, SET-03: gold records with a visual modality or tag."""
     g = table(spark, directory, "dev_gold").filter("modality IS NOT NULL AND tags IS NOT NULL")
-    return g.select("id", "question_type", F.array_contains("modality", "visual").alias("visual"), F.arrays_overlap("tags", F.array(*[F.lit(t) for t in ("slide", "demo", "diagram", "code")])).alias("visual_tags")).distinct()
+    return g.select("id", "question_type", F.array_contains("modality", "visual").alias("visual"), F.arrays_overlap("tags", F.array(*[F.lit(t) for t in VISUAL_TAGS])).alias("visual_tags")).distinct()
 
 
 @R.query(
     """WITH q AS (SELECT DISTINCT id, question FROM dev_gold WHERE question IS NOT NULL)
-SELECT id, CASE WHEN regexp_matches(lower(question), '\\b(compare|contrast|versus|vs|differ|difference|both|across)\\b') THEN 'synthesis' ELSE 'single_clip' END AS planned FROM q"""
+SELECT id, CASE WHEN regexp_matches(lower(question), '\\b(compare|contrast|both|and\\s+\\w+\\s+(say|argue|claim|argues|says|claims))\\b') THEN 'synthesis' ELSE 'single_clip' END AS planned FROM q"""
 )
 def planned_type(spark, directory) -> DataFrame:
     """STR-11, LOP-01: planned kind of a question by cue words."""
     q = table(spark, directory, "dev_gold").filter("question IS NOT NULL").select("id", "question").distinct()
-    cue = F.lower("question").rlike(r"\b(compare|contrast|versus|vs|differ|difference|both|across)\b")
+    cue = F.lower("question").rlike(r"\b(compare|contrast|both|and\s+\w+\s+(say|argue|claim|argues|says|claims))\b")
     return q.select("id", F.when(cue, "synthesis").otherwise("single_clip").alias("planned"))
 
 
