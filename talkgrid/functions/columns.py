@@ -42,6 +42,23 @@ def seconds_clock(seconds: Column) -> Column:
     return F.concat(long_hours, F.lit(":"), part(F.floor(ms / 60000) % 60, 2), F.lit(":"), part(F.floor(ms / 1000) % 60, 2), F.lit("."), part(ms % 1000, 3))
 
 
+def tenths(seconds: Column) -> Column:
+    """Seconds with one decimal as ``%.1f`` of C and Python writes them: the binary value, ties to even.
+
+    Java's ``%.1f`` rounds the shortest decimal half up, so 0.25 and 0.35 would differ.  Only a product that
+    falls on a half can be off; the lost part of ``8f + 2f`` (f the fraction) is then exact and decides.  For ``abs(x) < 9e15``.
+    """
+    x = F.abs(seconds)
+    whole = F.floor(x)
+    f = x - whole
+    p = f * 8 + f * 2
+    lost, low = f * 2 - (p - f * 8), F.floor(p)
+    half = F.when((lost > 0) | ((lost == 0) & (low % 2 == 1)), low + 1).otherwise(low)
+    t = F.when(p - low == 0.5, half).otherwise(F.floor(p + 0.5))
+    sign = F.when(seconds.cast("string").startswith("-"), "-").otherwise("")
+    return F.concat(sign, (whole + F.when(t > 9, 1).otherwise(0)).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def clean_line(line: Column) -> Column:
     """A caption line without tags, common entities, speaker marks and repeated white space."""
     x = F.regexp_replace(line, "<[^>]*>", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgrid.functions.columns import tenths
 from talkgrid.operators import merge
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
@@ -194,10 +195,9 @@ def planned_type(spark, directory) -> DataFrame:
 SELECT chunk_id, '[' || video_id || ' @ ' || printf('%.1f', start_sec) || '-' || printf('%.1f', end_sec) || ']' || chr(10) || text AS context FROM c WHERE video_id IS NOT NULL AND round(start_sec * 10) = start_sec * 10 AND round(end_sec * 10) = end_sec * 10"""
 )
 def rendered_context(spark, directory) -> DataFrame:
-    """PRJ-05: chunks as lines of a prompt (those on whole tenths of a second)."""
+    """PRJ-05: chunks as lines of a prompt, times with one decimal."""
     c = table(spark, directory, "chunks").filter(valid_span(F.col("start_sec"), F.col("end_sec")) & F.col("text").isNotNull() & F.col("video_id").isNotNull()).select("chunk_id", "video_id", "start_sec", "end_sec", "text").distinct()
-    tenth = (F.round(F.col("start_sec") * 10) == F.col("start_sec") * 10) & (F.round(F.col("end_sec") * 10) == F.col("end_sec") * 10)
-    return c.filter(tenth).select("chunk_id", F.format_string("[%s @ %.1f-%.1f]\n%s", "video_id", "start_sec", "end_sec", "text").alias("context"))
+    return c.select("chunk_id", F.format_string("[%s @ %s-%s]\n%s", "video_id", tenths(F.col("start_sec")), tenths(F.col("end_sec")), "text").alias("context"))
 
 
 @R.query(
