@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkgrid.functions.columns import clean_line, clock_seconds, ends_sentence, token_count
 
-WINDOW_SEC, STRIDE_SEC, MAX_TOKENS = 30, 25, 512
+WINDOW_SEC, STRIDE_SEC, MAX_TOKENS, SNAP_WORDS = 30, 25, 512, 12
 #: Prefixes of header blocks.
 HEADERS = ("WEBVTT", "Kind:", "Language:", "NOTE")
 _STAMP = r"^\s*(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
@@ -37,13 +37,21 @@ def parse_captions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("cue_no", (F.row_number().over(W.partitionBy("id").orderBy("i")) - 1).cast("int")).select("id", "cue_no", "start_sec", "end_sec", "lines")
 
 
-def drop_rollup(cues: DataFrame) -> DataFrame:
-    """Cues without the leading lines that repeat the last line of the cue before; empty cues go."""
+def settle_rollup(cues: DataFrame) -> DataFrame:
+    """Cues without the leading lines that repeat the last line of the cue before.
+
+    Cues without any line go; those of repeated lines only stay as spans without lines.
+    """
     prev = F.lag(F.element_at("lines", -1)).over(W.partitionBy("id").orderBy("cue_no"))
     full = cues.filter(F.size("lines") > 0).withColumn("tail", prev)
     lead = F.size(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.forall(F.slice("lines", F.lit(1), i), lambda x: x == F.col("tail"))))
     kept = F.when(F.col("tail").isNull(), F.col("lines")).otherwise(F.slice("lines", lead + 1, F.greatest(F.size("lines") - lead, F.lit(0))))
-    return full.withColumn("lines", kept).drop("tail").filter(F.size("lines") > 0)
+    return full.withColumn("lines", kept).drop("tail")
+
+
+def drop_rollup(cues: DataFrame) -> DataFrame:
+    """Cues without the leading lines that repeat the last line of the cue before; empty cues go."""
+    return settle_rollup(cues).filter(F.size("lines") > 0)
 
 
 def clip_cues(cues: DataFrame, start: float, end: float) -> DataFrame:
@@ -54,25 +62,38 @@ def clip_cues(cues: DataFrame, start: float, end: float) -> DataFrame:
     return inside.withColumn("start_sec", F.greatest(F.col("start_sec"), F.lit(float(start))) - start).withColumn("end_sec", F.least(F.col("end_sec"), F.lit(float(end))) - start)
 
 
+def _last_end(words: Column) -> Column:
+    """Number of the last word that ends a sentence, from 1; 0 if there is none."""
+    return F.coalesce(F.array_max(F.transform(words, lambda x, i: F.when(x.rlike(r"[.!?]$"), i + 1))), F.lit(0))
+
+
 def fixed_windows(cues: DataFrame, window: int = WINDOW_SEC, stride: int = STRIDE_SEC, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Sliding windows over cue midpoints: id, window_no, start_sec, end_sec, text, token_count.
 
     The windows of a cue follow from its midpoint in closed form, so the join with windows is an
     explode of at most ``ceil(window / stride)`` rows.  Times are those of the first and last cue in file
-    order; texts over ``max_tokens`` words are cut there.
+    order, with or without lines; a window without words is none.  A text that ends inside a sentence is
+    trimmed to its last sentence end when that takes at most ``SNAP_WORDS`` words.  Texts over ``max_tokens``
+    words are cut there, or at a sentence end in the last tenth of their characters.
     """
     if stride <= 0 or stride > window:
         raise ValueError("need 0 < stride <= window")
     mid = (F.col("start_sec") + F.col("end_sec")) / 2
     last = F.floor(mid / stride)
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((mid - window) / stride) + 1)
-    placed = cues.filter("size(lines) > 0").select("id", "cue_no", "start_sec", "end_sec", F.array_join("lines", " ").alias("t"), F.explode(F.sequence(first, last)).alias("window_no"))
+    placed = cues.select("id", "cue_no", "start_sec", "end_sec", F.array_join("lines", " ").alias("t"), F.explode(F.sequence(first, last)).alias("window_no"))
     win = placed.groupBy("id", "window_no").agg(
         F.array_sort(F.collect_list(F.struct("cue_no", "t"))).alias("c"), F.min_by("start_sec", "cue_no").alias("start_sec"), F.max_by("end_sec", "cue_no").alias("end_sec")
     )
     toks = F.filter(F.split(F.trim(F.array_join(F.transform("c", lambda x: x["t"]), " ")), r"\s+"), lambda x: x != "")
-    out = win.select("id", "window_no", "start_sec", "end_sec", toks.alias("w"))
-    return out.select("id", "window_no", "start_sec", "end_sec", F.array_join(F.slice("w", 1, max_tokens), " ").alias("text"), F.least(F.size("w"), F.lit(max_tokens)).alias("token_count"))
+    out = win.select("id", "window_no", "start_sec", "end_sec", toks.alias("w")).filter("size(w) > 0")
+    out = out.withColumn("end", _last_end(F.col("w")))
+    snap = (F.col("end") > 0) & (F.size("w") - F.col("end") <= SNAP_WORDS)
+    out = out.withColumn("w", F.when(snap, F.slice("w", 1, F.col("end"))).otherwise(F.col("w"))).withColumn("cut", F.slice("w", 1, max_tokens))
+    out = out.withColumn("end", _last_end(F.col("cut")))
+    late = F.length(F.array_join(F.slice("cut", 1, F.col("end")), " ")) >= F.floor(F.length(F.array_join("cut", " ")) * 0.9)
+    out = out.withColumn("n", F.when((F.size("w") > max_tokens) & (F.col("end") > 0) & late, F.col("end")).otherwise(F.size("cut")))
+    return out.select("id", "window_no", "start_sec", "end_sec", F.array_join(F.slice("cut", 1, F.col("n")), " ").alias("text"), F.col("n").alias("token_count"))
 
 
 def sentence_sessions(cues: DataFrame, target: float = 30.0, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -57,8 +57,8 @@ gw AS (SELECT id, window_no, arg_min(start_sec, cue_no) AS start_sec, arg_max(en
 SELECT id AS doc_id, window_no, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, array_to_string(tok[1:512], ' ') AS text, CAST(least(len(tok), 512) AS INT) AS token_count FROM gw"""
 )
 def fixed_window_chunks(spark, directory) -> DataFrame:
-    """JOIN-08, WIN-08, STR-03, AGG-26, AGG-27: 30 s windows every 25 s over cue midpoints."""
-    w = captions.fixed_windows(_cues(spark, directory))
+    """JOIN-08, WIN-05, WIN-08, STR-03, STR-04, STR-05, AGG-26, AGG-27: 30 s windows every 25 s over cue midpoints."""
+    w = captions.fixed_windows(captions.settle_rollup(_cues(spark, directory)))
     return w.select(F.col("id").alias("doc_id"), "window_no", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), "text", "token_count")
 
 
@@ -75,8 +75,8 @@ f AS (
 SELECT id AS doc_id, chunk_no, round(arg_max(s, n), 3) AS start_sec, round(arg_max(e, n), 3) AS end_sec, arg_max(t, n) AS text, CAST(len(regexp_extract_all(arg_max(t, n), '\S+')) AS INT) AS token_count FROM f GROUP BY id, chunk_no"""
 )
 def sentence_chunks(spark, directory) -> DataFrame:
-    """WIN-09, STR-06, UDF-08: chunks closed at sentence ends."""
-    s = captions.sentence_sessions(_cues(spark, directory))
+    """WIN-05, WIN-09, STR-06, UDF-08: chunks closed at sentence ends."""
+    s = captions.sentence_sessions(captions.drop_rollup(_cues(spark, directory)))
     return s.select(F.col("id").alias("doc_id"), "chunk_no", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), "text", "token_count")
 
 

@@ -1,10 +1,14 @@
 """Queries that do the whole job, against plain Python and SQL without the cut."""
 
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkgrid.functions.columns import tenths
+from talkgrid.operators import captions
 from talkgrid.plans import catalog
 from tests.oracle import compare, connect
 
@@ -21,3 +25,93 @@ def test_rendered_context_holds_every_valid_chunk(spark, data):
     sql = """SELECT DISTINCT chunk_id, '[' || video_id || ' @ ' || printf('%.1f', start_sec) || '-' || printf('%.1f', end_sec) || ']' || chr(10) || text AS context
       FROM (SELECT DISTINCT chunk_id, video_id, start_sec, end_sec, text FROM chunks) WHERE end_sec > start_sec AND isfinite(start_sec) AND isfinite(end_sec) AND text IS NOT NULL AND video_id IS NOT NULL"""
     compare(catalog.queries()["rendered_context"](spark, data), connect(data), sql)
+
+
+def settled(cues):
+    out, tail = [], None
+    for start, end, lines in cues:
+        if not lines:
+            continue
+        kept = list(lines)
+        while kept and kept[0] == tail:
+            kept.pop(0)
+        tail = kept[-1] if kept else tail
+        out.append((start, end, " ".join(kept)))
+    return out
+
+
+def plain_windows(cues, limit):
+    out, no = [], 0
+    while no * 25 < max((c[1] for c in cues), default=0):
+        own = [c for c in cues if no * 25 <= (c[0] + c[1]) / 2 < no * 25 + 30]
+        text = " ".join(c[2] for c in own if c[2])
+        if text:
+            last = max(text.rfind(x) for x in (". ", "! ", "? "))
+            if text[-1] not in ".!?" and last >= 0 and len(text[last + 1 :].split()) <= 12:
+                text = text[: last + 1]
+            if len(text.split()) > limit:
+                text = " ".join(text.split()[:limit])
+                ends = [m.start() + 1 for m in re.finditer(r"[.!?](?:\s|$)", text) if m.start() + 1 >= int(len(text) * 0.9)]
+                text = text[: ends[-1]] if ends else text
+            out.append((no, own[0][0], own[-1][1], text, len(text.split())))
+        no += 1
+    return out
+
+
+def plain_sentences(cues, limit):
+    out, cur = [], []
+    for c in [c for c in cues if c[2]]:
+        cur.append(c)
+        text = " ".join(x[2] for x in cur)
+        if (c[1] - cur[0][0] >= 30 and text[-1] in ".!?") or len(text.split()) >= limit:
+            out.append((len(out), cur[0][0], c[1], text, len(text.split())))
+            cur = []
+    if cur:
+        text = " ".join(x[2] for x in cur)
+        out.append((len(out), cur[0][0], cur[-1][1], text, len(text.split())))
+    return out
+
+
+def made_captions(rng):
+    """Caption texts with rolled-up lines, cues of nothing else, empty cues and sentences of all lengths."""
+    at, lines, last = 0.0, ["WEBVTT", ""], None
+    for _ in range(rng.randrange(1, 120)):
+        long = rng.choice([1.0, 2.5, 4.0, 9.0])
+        body = [" ".join(rng.choice(["go", "étude", "cache", "3.5", "end.", "why?"]) if rng.random() < 0.3 else "word" for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(0, 3))]
+        if last and rng.random() < 0.5:
+            body = [last] + (body if rng.random() < 0.7 else [])
+        last = body[-1] if body else last
+        clock = [f"{int(t) // 3600:02d}:{int(t) // 60 % 60:02d}:{t % 60:06.3f}" for t in (at, at + long)]
+        lines += [" --> ".join(clock), *body, ""]
+        at += long + rng.choice([0.0, 0.0, 0.5, 40.0])
+    return "\n".join(lines)
+
+
+def grouped(cues):
+    texts = {}
+    for r in cues.orderBy("id", "cue_no").collect():
+        texts.setdefault(r.id, []).append((r.start_sec, r.end_sec, r.lines))
+    return texts
+
+
+@pytest.mark.parametrize("limit", [20, 512])
+def test_chunkers_match_plain_python(spark, limit):
+    rng = random.Random(limit)
+    docs = spark.createDataFrame([(i, made_captions(rng)) for i in range(80)], "i int, t string")
+    cues = captions.parse_captions(docs, "i", "t").cache()
+    texts = grouped(cues)
+    shape = lambda df, no: sorted((r.id, r[no], r.start_sec, r.end_sec, r.text, r.token_count) for r in df.collect())
+    got = shape(captions.fixed_windows(captions.settle_rollup(cues), max_tokens=limit), "window_no")
+    assert got == sorted((i, *w) for i, c in texts.items() for w in plain_windows(settled(c), limit))
+    got = shape(captions.sentence_sessions(captions.drop_rollup(cues), max_tokens=limit), "chunk_no")
+    assert got == sorted((i, *w) for i, c in texts.items() for w in plain_sentences(settled(c), limit))
+
+
+@pytest.mark.parametrize("name, no, plain", [("fixed_window_chunks", "window_no", plain_windows), ("sentence_chunks", "chunk_no", plain_sentences)])
+def test_chunk_queries_take_rolled_up_lines_once(spark, tmp_path, name, no, plain):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, made_captions(rng)) for i in range(30)], "doc_id int, text string")
+    docs.write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    texts = grouped(captions.parse_captions(docs, "doc_id", "text"))
+    got = sorted((r.doc_id, r[no], r.start_sec, r.end_sec, r.text, r.token_count) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert got == sorted((i, w[0], round(w[1], 3), round(w[2], 3), *w[3:]) for i, c in texts.items() for w in plain(settled(c), 512))
