@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkgrid.functions.columns import stop_sql, terms
 from talkgrid.operators import fusion, search
 from talkgrid.operators.intervals import bin_range_join, valid_span
-from talkgrid.operators.vectors import exact_search, mean_pool, top_k
+from talkgrid.operators.vectors import exact_search, finite_vector, mean_pool, top_k
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, small, table
 
@@ -116,6 +116,15 @@ def query_expand_terms(spark, directory) -> DataFrame:
     return gold.select("id", F.when(F.size("t") > 0, F.array_join(F.array_sort("t"), " | ")).alias("expansion")).distinct()
 
 
+def _sparse(spark, directory, k: int) -> DataFrame:
+    """Fixed windows of the largest inner product of terms with the chunk that asks."""
+    chunks = table(spark, directory, "chunks")
+    fixed = chunks.filter("chunking_strategy = 'fixed_window'").select(F.col("chunk_id").alias("id")).distinct()
+    asks = chunks.filter("chunk_id % 50 = 0 AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    found = search.sparse_search(asks, "chunk_id", "text", _postings(spark, directory).join(fixed, "id", "left_semi"), k)
+    return found.select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"))
+
+
 @R.query(
     f"WITH {_VEC_SQL}"
     + """, cand AS (SELECT query_id, chunk_id FROM d WHERE rank <= 100),
@@ -125,9 +134,9 @@ s AS (SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM e GROUP BY AL
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 30"""
 )
 def maxsim_multivec(spark, directory) -> DataFrame:
-    """JOIN-12, AGG-04, TOPK-03: late interaction over the 100 nearest chunks, four tokens a vector."""
-    vecs = _vectors(spark, directory).filter("vec IS NOT NULL AND size(vec) = 64").groupBy("id").agg(F.min("vec").alias("vec"))
-    cand = _dense(spark, directory, PREFILTER).select("query_id", "chunk_id")
+    """SET-01, JOIN-12, AGG-04, TOPK-03: late interaction over the 100 nearest chunks by vector and the 100 by terms, four tokens a vector."""
+    vecs = _vectors(spark, directory).filter(finite_vector(F.col("vec")) & (F.size("vec") == 64)).groupBy("id").agg(F.min("vec").alias("vec"))
+    cand = _dense(spark, directory, PREFILTER).select("query_id", "chunk_id").unionByName(_sparse(spark, directory, PREFILTER)).distinct()
     pairs = cand.join(vecs.select(F.col("id").alias("query_id"), F.col("vec").alias("a")), "query_id").join(vecs.select(F.col("id").alias("chunk_id"), F.col("vec").alias("b")), "chunk_id")
     dot = lambda i, j: F.aggregate(F.zip_with(F.slice("a", 16 * i + 1, 16), F.slice("b", 16 * j + 1, 16), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = sum((F.greatest(*[dot(i, j) for j in range(4)]) for i in range(4)), F.lit(0.0))

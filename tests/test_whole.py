@@ -4,12 +4,13 @@ import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from talkgrid.functions.columns import tenths
 from talkgrid.operators import captions
-from talkgrid.plans import catalog
+from talkgrid.plans import catalog, retrieval
 from tests.oracle import compare, connect
 
 
@@ -115,3 +116,26 @@ def test_chunk_queries_take_rolled_up_lines_once(spark, tmp_path, name, no, plai
     texts = grouped(captions.parse_captions(docs, "doc_id", "text"))
     got = sorted((r.doc_id, r[no], r.start_sec, r.end_sec, r.text, r.token_count) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
     assert got == sorted((i, w[0], round(w[1], 3), round(w[2], 3), *w[3:]) for i, c in texts.items() for w in plain(settled(c), 512))
+
+
+def test_maxsim_scores_the_union_of_both_prefilters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "PREFILTER", 5)
+    rng, data = random.Random(4), str(tmp_path)
+    rows = [(i, rng.choice(["fixed_window", "fixed_window", "transcript_segment"]), " ".join(rng.choice(["cache", "vector", "stream", "query", "the", "index", "shard"]) for _ in range(8))) for i in range(160)]
+    spark.createDataFrame(rows, "chunk_id long, chunking_strategy string, text string").write.parquet(f"{data}/chunks.parquet")
+    vecs = [(i, None if i == 7 else [0.0] * 64 if i == 8 else [rng.uniform(-1, 1) for _ in range(64)]) for i in range(160)]
+    spark.createDataFrame(vecs, "chunk_id long, dense array<double>").write.parquet(f"{data}/dense_embeds.parquet")
+    con = duckdb.connect()
+    for t in ("chunks", "dense_embeds"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet/*.parquet'")
+    sql = f"""WITH {retrieval._VEC_SQL}, {retrieval._POST_SQL}
+      dots AS (SELECT a.id AS query_id, b.id AS chunk_id, sum(a.tf * b.tf) AS dot FROM post a JOIN post b USING (term) WHERE a.id % 50 = 0 AND b.id IN (SELECT chunk_id FROM fw) GROUP BY ALL),
+      sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, chunk_id) AS rank FROM dots),
+      cand AS (SELECT query_id, chunk_id FROM d WHERE rank <= 5 UNION SELECT query_id, chunk_id FROM sp WHERE rank <= 5),
+      p AS (SELECT c.query_id, c.chunk_id, q.vec AS a, r.vec AS b FROM cand c JOIN v q ON c.query_id = q.chunk_id JOIN v r ON c.chunk_id = r.chunk_id),
+      e AS (SELECT query_id, chunk_id, i, max(list_inner_product(a[16 * i + 1 : 16 * i + 16], b[16 * j + 1 : 16 * j + 16])) AS best FROM p, range(4) x(i), range(4) y(j) GROUP BY ALL),
+      s AS (SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM e GROUP BY ALL)
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s"""
+    df = retrieval.maxsim_multivec(spark, data)
+    compare(df, con, sql)
+    assert df.groupBy("query_id").count().filter("count > 5").count() > 0
