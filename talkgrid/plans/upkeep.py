@@ -107,11 +107,11 @@ def latest_chunks(spark, directory) -> DataFrame:
 SELECT chunk_id, n FROM s UNION ALL SELECT chunk_id, n FROM t ANTI JOIN s USING (chunk_id)"""
 )
 def upsert_keep_latest(spark, directory) -> DataFrame:
-    """SNK-01..SNK-04, STM-08: rows of one delivery replace those of the table by key."""
-    c = table(spark, directory, "chunks")
-    target = c.filter("chunk_id % 3 <> 0").groupBy("chunk_id").agg(F.min("token_count").alias("n"))
-    source = c.filter("chunk_id % 2 = 0").groupBy("chunk_id").agg(F.length(F.min("text")).alias("n"))
-    return merge.upsert(target, source, ["chunk_id"])
+    """SNK-01..SNK-04, STM-08: first deliveries of all chunks, replaced by the latest of those delivered again."""
+    c = table(spark, directory, "chunks").filter("chunk_id IS NOT NULL").select("chunk_id", "created_at", F.col("token_count").alias("n"))
+    at = F.struct("created_at", "n")
+    ends = c.groupBy("chunk_id").agg(F.count("*").alias("rows"), F.min_by("n", at).alias("first"), F.max_by("n", at).alias("last"))
+    return merge.upsert(ends.select("chunk_id", F.col("first").alias("n")), ends.filter("rows > 1").select("chunk_id", F.col("last").alias("n")), ["chunk_id"])
 
 
 @R.query(

@@ -139,3 +139,11 @@ def test_maxsim_scores_the_union_of_both_prefilters(spark, tmp_path, monkeypatch
     df = retrieval.maxsim_multivec(spark, data)
     compare(df, con, sql)
     assert df.groupBy("query_id").count().filter("count > 5").count() > 0
+
+
+def test_upsert_keeps_every_id_and_its_latest_delivery(spark, tmp_path):
+    rows = [(i, f"2025-01-0{1 + d}", 10 * i + (5 - d if i % 2 else d), "text") for i in range(14) for d in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "chunk_id long, at string, token_count int, text string").selectExpr("chunk_id", "timestamp(at) AS created_at", "token_count", "text")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: r.n for r in catalog.queries()["upsert_keep_latest"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[2] for r in sorted(rows, key=lambda r: (r[0], r[1]))}
