@@ -72,7 +72,9 @@ def _number_starts(text: str) -> list[int]:
     out = []
     for m in _DIGITS.finditer(text):
         a, b = m.span()
-        if b - a == 2 and (text[b : b + 1] == ":" or (a and text[a - 1] == ":")) or (b - a == 3 and a > 3 and text[a - 4] == ":" or a > 3 and text[a - 1] == "." and text[a - 4] == ":"):
+        # a time has a digit on either side of its colon; a label before the colon does not make one
+        after, before = text[b : b + 1] == ":" and text[b + 1 : b + 2].isdigit(), a > 1 and text[a - 1] == ":" and text[a - 2].isdigit()
+        if b - a == 2 and (after or before) or (a > 4 and text[a - 4] == ":" and text[a - 5].isdigit() and (b - a == 3 or text[a - 1] == ".")):
             continue
         out.append(a)
     return out
