@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: English words that carry no search weight.
 STOP_WORDS = (
@@ -59,12 +63,36 @@ def tenths(seconds: Column) -> Column:
     return F.concat(sign, (whole + F.when(t > 9, 1).otherwise(0)).cast("string"), F.lit("."), (t % 10).cast("string"))
 
 
+#: The entities of markup itself, in the order in which they are resolved.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_ENTITY = r"&(#\d+|#[xX][0-9a-fA-F]+|\w+);?"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescaped(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda own: None if own is None else [html.unescape(x) for x in own])
+
+
+def _settled(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"^>>\s*", ""), r"[\s\x{a0}]+", " "))
+
+
 def clean_line(line: Column) -> Column:
     """A caption line without tags, common entities, speaker marks and repeated white space."""
     x = F.regexp_replace(line, "<[^>]*>", "")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, sign in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*>>\s*", ""), r"\s+", " "))
+    return _settled(x)
+
+
+def clean_lines(lines: Column) -> Column:
+    """The same for an array of lines, with every entity of HTML.
+
+    Only arrays with an entity go through Python; for the others it gets nulls.
+    """
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, "<[^>]*>", ""))
+    escaped = F.exists(bare, lambda x: x.rlike(_ENTITY))
+    return F.transform(F.coalesce(_unescaped(F.when(escaped, bare)), bare), _settled)
 
 
 def ends_sentence(text: Column) -> Column:
@@ -75,10 +103,3 @@ def ends_sentence(text: Column) -> Column:
 def token_count(text: Column) -> Column:
     """Runs of characters other than white space."""
     return F.regexp_count(text, F.lit(r"\S+"))
-
-
-def percentile_nearest(values: Column, q: float) -> Column:
-    """Nearest-rank percentile of a sorted array: index ``round_half_even(q * n + 0.5)``, clamped; empty gives 0."""
-    n = F.size(values)
-    at = F.greatest(F.lit(1), F.least(n, F.bround(n * F.lit(q) + 0.5).cast("int")))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.element_at(values, at).cast("double"))

@@ -8,42 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgrid.functions.columns import clean_line, clock_seconds, ends_sentence, token_count
+from talkgrid.functions.columns import clean_lines, clock_seconds, ends_sentence, token_count
 
 WINDOW_SEC, STRIDE_SEC, MAX_TOKENS, SNAP_WORDS = 30, 25, 512, 12
 #: Prefixes of header blocks.
 HEADERS = ("WEBVTT", "Kind:", "Language:", "NOTE")
-_STAMP = r"^\s*(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
+#: Fixed value: a time line, with its two clocks as groups.
+STAMP = r"^(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
+#: Fixed value: what caption texts put for sounds that are no speech.
+NO_SPEECH = r"(?i)\[(music|inaudible|applause|laughter|silence|crosstalk)\]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
 
 
 def parse_captions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Cues of WebVTT texts: id, cue_no (from 0), start_sec, end_sec, lines.
+    """Cues of WebVTT texts: id, cue_no, start_sec, end_sec, lines.
 
-    A new cue begins at every time line; header blocks and what stands before a time line are
-    dropped; lines are cleaned and blank ones removed.  The cue of a line is a running count over the
-    lines of one text, kept inside the row's own array, so a text never leaves its task.
-    Null texts have no cues.
+    A new cue begins at every time line, and ``cue_no`` is the number of its time line from 0.  Header
+    blocks and what stands before a time line are dropped; lines are cleaned, blank ones removed, and a
+    cue without any line is none.  Everything happens inside the row's own array, so a text never leaves
+    its task.  Null texts have no cues.
     """
-    rows = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(F.col(text_col), r"\r?\n").alias("l"))
+    rows = texts.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(F.split(F.col(text_col), LINE_BREAK), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("l"))
     header = F.lit(False)
-    kind = lambda x: F.when(x.rlike(_STAMP), 1).when(reduce(lambda c, h: c | x.startswith(h), HEADERS, header), 2).otherwise(0)
+    kind = lambda x: F.when(x.rlike(STAMP), 1).when(reduce(lambda c, h: c | x.startswith(h), HEADERS, header), 2).otherwise(0)
     # one pass over the lines leaves the boundaries; a cue holds the lines up to the next one
     marks = F.filter(F.transform("l", lambda x, i: F.struct(kind(x).alias("k"), i.alias("i"))), lambda m: m["k"] > 0)
-    cues = rows.withColumn("at", marks).select("id", "l", "at", F.posexplode("at").alias("j", "m")).filter("m.k = 1")
-    cues = cues.select("id", "l", F.col("m.i").alias("i"), F.coalesce(F.get("at", F.col("j") + 1)["i"], F.size("l")).alias("to"))
-    head = F.get("l", F.col("i"))
-    body = F.filter(F.transform(F.slice("l", F.col("i") + 2, F.greatest(F.col("to") - F.col("i") - 1, F.lit(0))), clean_line), lambda x: x != "")
-    out = cues.select("id", "i", clock_seconds(F.regexp_extract(head, _STAMP, 1)).alias("start_sec"), clock_seconds(F.regexp_extract(head, _STAMP, 2)).alias("end_sec"), body.alias("lines"))
-    return out.withColumn("cue_no", (F.row_number().over(W.partitionBy("id").orderBy("i")) - 1).cast("int")).select("id", "cue_no", "start_sec", "end_sec", "lines")
+    ends = F.transform("at", lambda m, j: F.struct(m["k"].alias("k"), m["i"].alias("i"), F.coalesce(F.get("at", j + 1)["i"], F.size("l")).alias("to")))
+    cues = rows.withColumn("at", marks).select("id", "l", F.posexplode(F.filter(ends, lambda m: m["k"] == 1)).alias("cue_no", "m"))
+    head = F.get("l", F.col("m.i"))
+    body = F.filter(clean_lines(F.slice("l", F.col("m.i") + 2, F.greatest(F.col("m.to") - F.col("m.i") - 1, F.lit(0)))), lambda x: x != "")
+    out = cues.select("id", "cue_no", clock_seconds(F.regexp_extract(head, STAMP, 1)).alias("start_sec"), clock_seconds(F.regexp_extract(head, STAMP, 2)).alias("end_sec"), body.alias("lines"))
+    return out.filter(F.size("lines") > 0)
 
 
 def settle_rollup(cues: DataFrame) -> DataFrame:
     """Cues without the leading lines that repeat the last line of the cue before.
 
-    Cues without any line go; those of repeated lines only stay as spans without lines.
+    A cue of repeated lines only stays as a span without lines, so windows begin and end where they did.
     """
     prev = F.lag(F.element_at("lines", -1)).over(W.partitionBy("id").orderBy("cue_no"))
-    full = cues.filter(F.size("lines") > 0).withColumn("tail", prev)
+    full = cues.withColumn("tail", prev)
     lead = F.size(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.forall(F.slice("lines", F.lit(1), i), lambda x: x == F.col("tail"))))
     kept = F.when(F.col("tail").isNull(), F.col("lines")).otherwise(F.slice("lines", lead + 1, F.greatest(F.size("lines") - lead, F.lit(0))))
     return full.withColumn("lines", kept).drop("tail")
@@ -99,6 +103,8 @@ def fixed_windows(cues: DataFrame, window: int = WINDOW_SEC, stride: int = STRID
 def sentence_sessions(cues: DataFrame, target: float = 30.0, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Chunks that close at a sentence end once ``target`` seconds long, or at ``max_tokens`` words.
 
+    A closing cue may carry a chunk over ``max_tokens``; its text is cut there.
+
     Whether a cue closes depends on where the chunk began, so each text's cues are folded in order by one
     ``aggregate`` expression in its row; the remainder is a chunk as well.
     """
@@ -122,17 +128,20 @@ def sentence_sessions(cues: DataFrame, target: float = 30.0, max_tokens: int = M
     folded = per.withColumn("cuts", F.aggregate("c", start, step, finish)).select("id", "c", "cuts", F.posexplode("cuts").alias("chunk_no", "to"))
     begin = F.when(F.col("chunk_no") == 0, 0).otherwise(F.get("cuts", F.col("chunk_no") - 1))
     own = folded.select("id", "chunk_no", F.slice("c", begin + 1, F.col("to") - begin).alias("own"))
-    text = F.array_join(F.transform("own", lambda x: x["t"]), " ")
-    words = F.aggregate("own", F.lit(0), lambda a, x: a + x["n"])
-    return own.select("id", "chunk_no", F.element_at("own", 1)["start_sec"].alias("start_sec"), F.element_at("own", -1)["end_sec"].alias("end_sec"), text.alias("text"), words.alias("token_count"))
+    words = F.slice(F.filter(F.split(F.array_join(F.transform("own", lambda x: x["t"]), " "), r"\s+"), lambda x: x != ""), 1, max_tokens)
+    out = own.select("id", "chunk_no", F.element_at("own", 1)["start_sec"].alias("start_sec"), F.element_at("own", -1)["end_sec"].alias("end_sec"), words.alias("w"))
+    return out.select("id", "chunk_no", "start_sec", "end_sec", F.array_join("w", " ").alias("text"), F.size("w").alias("token_count"))
+
 
+def caption_quality(cues: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """Words a minute and share of non-speech lines of each text, and whether it passes (60, 0.20).
 
-def caption_quality(cues: DataFrame) -> DataFrame:
-    """Words a minute and share of non-speech lines of each text, and whether it passes (60, 0.20)."""
+    ``durations`` (id, sec) gives the length of the talks; without it a talk ends with its last cue.
+    """
     lines = cues.select("id", "start_sec", "end_sec", F.explode("lines").alias("line"))
-    marker = F.col("line").rlike(r"(?i)\[(music|inaudible|applause|laughter|silence|crosstalk)\]")
+    marker = F.col("line").rlike(NO_SPEECH)
     said = lines.groupBy("id").agg(F.sum(F.regexp_count("line", F.lit(r"[\w']+"))).alias("words"), F.count("*").alias("n"), F.sum(F.when(marker, 1).otherwise(0)).alias("m"))
-    span = cues.groupBy("id").agg((F.max("end_sec") - F.min("start_sec")).alias("sec"))
+    span = cues.groupBy("id").agg(F.max("end_sec").alias("sec")) if durations is None else durations.select("id", F.col("sec").cast("double").alias("sec"))
     wpm = F.col("words") / F.greatest(F.col("sec") / 60, F.lit(1e-9))
     share = F.col("m") / F.greatest(F.col("n"), F.lit(1))
     out = span.join(said, "id")

@@ -103,8 +103,8 @@ def latest_chunks(spark, directory) -> DataFrame:
 
 
 @R.query(
-    """WITH t AS (SELECT chunk_id, min(token_count) AS n FROM chunks WHERE chunk_id % 3 <> 0 GROUP BY chunk_id), s AS (SELECT chunk_id, CAST(len(min(text)) AS INT) AS n FROM chunks WHERE chunk_id % 2 = 0 GROUP BY chunk_id)
-SELECT chunk_id, n FROM s UNION ALL SELECT chunk_id, n FROM t ANTI JOIN s USING (chunk_id)"""
+    """WITH c AS (SELECT chunk_id, token_count AS n, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC NULLS LAST, token_count DESC NULLS LAST) AS r FROM chunks WHERE chunk_id IS NOT NULL)
+SELECT chunk_id, n FROM c WHERE r = 1"""
 )
 def upsert_keep_latest(spark, directory) -> DataFrame:
     """SNK-01..SNK-04, STM-08: first deliveries of all chunks, replaced by the latest of those delivered again."""
@@ -192,7 +192,7 @@ def planned_type(spark, directory) -> DataFrame:
 
 @R.query(
     """WITH c AS (SELECT DISTINCT chunk_id, video_id, start_sec, end_sec, text FROM chunks WHERE end_sec > start_sec AND isfinite(start_sec) AND isfinite(end_sec) AND text IS NOT NULL)
-SELECT chunk_id, '[' || video_id || ' @ ' || printf('%.1f', start_sec) || '-' || printf('%.1f', end_sec) || ']' || chr(10) || text AS context FROM c WHERE video_id IS NOT NULL AND round(start_sec * 10) = start_sec * 10 AND round(end_sec * 10) = end_sec * 10"""
+SELECT chunk_id, '[' || video_id || ' @ ' || printf('%.1f', start_sec) || '-' || printf('%.1f', end_sec) || ']' || chr(10) || text AS context FROM c WHERE video_id IS NOT NULL"""
 )
 def rendered_context(spark, directory) -> DataFrame:
     """PRJ-05: chunks as lines of a prompt, times with one decimal."""

@@ -65,7 +65,8 @@ def plain_sentences(cues, limit):
         cur.append(c)
         text = " ".join(x[2] for x in cur)
         if (c[1] - cur[0][0] >= 30 and text[-1] in ".!?") or len(text.split()) >= limit:
-            out.append((len(out), cur[0][0], c[1], text, len(text.split())))
+            kept = text.split()[:limit]
+            out.append((len(out), cur[0][0], c[1], " ".join(kept), len(kept)))
             cur = []
     if cur:
         text = " ".join(x[2] for x in cur)
@@ -147,3 +148,9 @@ def test_upsert_keeps_every_id_and_its_latest_delivery(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r.chunk_id: r.n for r in catalog.queries()["upsert_keep_latest"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[2] for r in sorted(rows, key=lambda r: (r[0], r[1]))}
+
+
+def test_caption_lines_are_cleaned_whole(spark):
+    text = "WEBVTT\n\n1\n  00:00:01.000 --> 00:00:02.000 align:start\n&gt;&gt; caf&eacute; &#x41;&amp;B <c>x</c>\n 7\r\n00:00:03.000 --> 00:00:04.000\n \n00:00:05.000 --> 00:00:06.000\ru\u2028v\nNOTE gone\nlost\n"
+    rows = captions.parse_captions(spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string"), "i", "t").collect()
+    assert [(r.cue_no, r.start_sec, r.lines) for r in rows] == [(0, 1.0, ["café A&B x", "7"]), (2, 5.0, ["u", "v"])]
