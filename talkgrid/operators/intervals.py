@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARD_MS = 3_600_000
-MAX_PIECES = 8
+#: Shards of one level that a shard of the next level holds.
+SHARDS_UP = 512
 
 
 def to_ms(seconds: Column) -> Column:
@@ -30,53 +31,80 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "__isl").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__isl")
 
 
+def _merged(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """Islands ``(entity, s, e)`` of the rows by shards of the first width, stitched by the next ones."""
+    if not widths:
+        return _islands(rows, ["entity"])
+    w = widths[0]
+    first, last = F.floor(F.col("s") / w), F.floor((F.col("e") - 1) / w)
+    head = F.struct(first.alias("k"), F.col("s"), F.least(F.col("e"), (first + 1) * w).alias("e"))
+    tail = F.when(last > first, F.struct(last.alias("k"), (last * w).alias("s"), F.col("e")))
+    pieces = rows.select("entity", F.explode(F.array_compact(F.array(head, tail))).alias("p")).groupBy("entity", "p.k", "p.s").agg(F.max("p.e").alias("e"))
+    # the whole shards between head and tail of a long interval stay one row
+    across = rows.filter(last > first + 1).select("entity", ((first + 1) * w).alias("s"), (last * w).alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e"))
+    local = _islands(pieces, ["entity", "k"])
+    touch = (F.col("s") == F.col("k") * w) | (F.col("e") == (F.col("k") + 1) * w)
+    stitched = _merged(local.filter(touch).select("entity", "s", "e").unionByName(across), widths[1:])
+    # islands inside a shard that a long interval covers whole are part of it; one row a shard is looked at
+    inner = local.filter(~touch)
+    named = lambda df: df.select(F.col("entity").alias("__ent")).distinct()
+    shards = inner.select("entity", (F.col("k") * w).alias("s")).distinct().join(named(across), F.col("entity").eqNullSafe(F.col("__ent")), "left_semi")
+    marks = shards.withColumn("e", F.lit(None).cast("bigint")).unionByName(across)
+    reach = F.max("e").over(W.partitionBy("entity").orderBy("s", F.col("e").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    covered = marks.withColumn("reach", reach).filter(F.col("e").isNull() & (F.col("reach") > F.col("s"))).select(F.col("entity").alias("__ent"), F.floor(F.col("s") / w).alias("__k"))
+    left = inner.join(covered, F.col("entity").eqNullSafe(F.col("__ent")) & (F.col("k") == F.col("__k")), "left_anti")
+    return left.select("entity", "s", "e").unionByName(stitched)
+
+
 def coalesce_intervals(df: DataFrame, entity: str, start_ms: str, end_ms: str, shard_ms: int = SHARD_MS) -> DataFrame:
     """Continuous periods ``(entity, s, e)`` of each entity, by a two-level merge.
 
-    1. Intervals are clipped into time shards and reduced to one row per (entity, shard, start)
-       before anything is sorted, so an entity with a third of all rows is spread over its shards
-       and repeated intervals cost nothing.  The shard width of an entity is widened to an eighth
-       of its longest interval, which bounds the pieces of any interval to ten.
+    1. Every interval gives the piece in its first and the piece in its last time shard, and one row for
+       the whole shards between; pieces are reduced to one row per (entity, shard, start) before anything
+       is sorted.  The width of a shard is fixed: no interval, however long, changes how the others
+       are spread, and an entity with a third of all rows lies in as many tasks as it has shards.
     2. Each shard is merged on its own.  Only islands that touch a shard boundary (at most two per
-       shard) go to the second level, where they are stitched per entity.
+       shard) and the rows between go on; they are stitched in shards ``SHARDS_UP`` times as wide, and
+       what touches the boundaries of those per entity.
 
     Rows with a null bound or ``end <= start`` take no part; a null entity is an entity of its
     own; touching intervals continue a period; an empty table gives no rows.  Extra columns are
     ignored.
     """
     ok = df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{start_ms}`").cast("bigint").alias("s"), F.col(f"`{end_ms}`").cast("bigint").alias("e")).filter("e > s")
-    ok = ok.groupBy("entity", "s").agg(F.max("e").alias("e"))
-    width = ok.groupBy("entity").agg(F.greatest(F.lit(shard_ms).cast("bigint"), F.ceil(F.max(F.col("e") - F.col("s")) / MAX_PIECES)).alias("w")).withColumnRenamed("entity", "__ent")
-    wide = ok.join(width, F.col("entity").eqNullSafe(F.col("__ent"))).drop("__ent")
-    pieces = (
-        wide.withColumn("k", F.explode(F.sequence(F.floor(F.col("s") / F.col("w")), F.floor((F.col("e") - 1) / F.col("w")))))
-        .withColumn("s", F.greatest(F.col("s"), F.col("k") * F.col("w")))
-        .withColumn("e", F.least(F.col("e"), (F.col("k") + 1) * F.col("w")))
-        .groupBy("entity", "w", "k", "s")
-        .agg(F.max("e").alias("e"))
-    )
-    local = _islands(pieces, ["entity", "w", "k"])
-    touch = (F.col("s") == F.col("k") * F.col("w")) | (F.col("e") == (F.col("k") + 1) * F.col("w"))
-    inner = local.filter(~touch).select("entity", "s", "e")
-    stitched = _islands(local.filter(touch).select("entity", "s", "e"), ["entity"])
-    return inner.unionByName(stitched.select("entity", "s", "e"))
+    return _merged(ok, [shard_ms, shard_ms * SHARDS_UP])
 
 
-def interval_gaps(periods: DataFrame, max_gap_ms: int | None = None, shard_ms: int = SHARD_MS) -> DataFrame:
-    """Holes ``(entity, s, e)`` between consecutive periods of :func:`coalesce_intervals`.
+def with_next(periods: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:
+    """Periods ``(entity, s, e)`` of :func:`coalesce_intervals` with the start ``nxt`` of the following one.
 
-    The next period's start comes from a window per (entity, shard); the last period of a shard
-    looks at a per-shard summary, so the window per entity holds one row per shard only.
-    Holes longer than ``max_gap_ms`` are breaks and are left out.
+    It comes from a window per (entity, shard); the last period of a shard looks at a per-shard
+    summary, so the window per entity holds one row per shard only.
     """
     p = periods.withColumn("k", F.floor(F.col("s") / shard_ms))
-    inside = W.partitionBy("entity", "k").orderBy("s")
-    p = p.withColumn("nxt", F.lead("s").over(inside))
+    p = p.withColumn("nxt", F.lead("s").over(W.partitionBy("entity", "k").orderBy("s")))
     heads = p.groupBy("entity", "k").agg(F.min("s").alias("first_s"))
     heads = heads.withColumn("nxt_head", F.lead("first_s").over(W.partitionBy("entity").orderBy("k"))).select(F.col("entity").alias("__ent"), F.col("k").alias("__k"), "nxt_head")
     joined = p.join(heads, F.col("entity").eqNullSafe(F.col("__ent")) & (F.col("k") == F.col("__k")))
-    gaps = joined.select("entity", F.col("e").alias("s"), F.coalesce("nxt", "nxt_head").alias("e")).filter("e > s")
-    return gaps if max_gap_ms is None else gaps.filter(F.col("e") - F.col("s") <= max_gap_ms)
+    return joined.select("entity", "s", "e", F.coalesce("nxt", "nxt_head").alias("nxt"))
+
+
+def _is_gap(max_gap_ms: int | None) -> Column:
+    hole = F.coalesce(F.col("nxt") > F.col("e"), F.lit(False))
+    return hole if max_gap_ms is None else hole & (F.col("nxt") - F.col("e") <= max_gap_ms)
+
+
+def interval_gaps(periods: DataFrame, max_gap_ms: int | None = None, shard_ms: int = SHARD_MS) -> DataFrame:
+    """Holes ``(entity, s, e)`` between consecutive periods; those longer than ``max_gap_ms`` are breaks and left out."""
+    return with_next(periods, shard_ms).filter(_is_gap(max_gap_ms)).select("entity", F.col("e").alias("s"), F.col("nxt").alias("e"))
+
+
+def periods_and_gaps(periods: DataFrame, max_gap_ms: int | None = None, shard_ms: int = SHARD_MS) -> DataFrame:
+    """Both in one pass: kind (``period``, ``gap``), entity, s, e."""
+    own = F.struct(F.lit("period").alias("kind"), F.col("s"), F.col("e"))
+    hole = F.when(_is_gap(max_gap_ms), F.struct(F.lit("gap").alias("kind"), F.col("e").alias("s"), F.col("nxt").alias("e")))
+    rows = with_next(periods, shard_ms).select("entity", F.explode(F.array_compact(F.array(own, hole))).alias("r"))
+    return rows.select("r.kind", "entity", "r.s", "r.e")
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkgrid.operators.intervals import coalesce_intervals, interval_gaps, to_ms, valid_span
+from talkgrid.operators.intervals import coalesce_intervals, periods_and_gaps, to_ms, valid_span
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import table
 
@@ -38,11 +38,8 @@ UNION ALL SELECT 'gap', video_id, s, e FROM g WHERE e IS NOT NULL AND e - s <= 9
 )
 def p2_found(spark, directory) -> DataFrame:
     """Continuous periods of each video over all strategies, and the holes of at most 900 s."""
-    periods = _periods(spark, directory)
-    gaps = interval_gaps(periods, MAX_GAP_MS)
-    kinds = [(periods, "period"), (gaps, "gap")]
-    parts = [df.select(F.lit(k).alias("kind"), F.col("entity").alias("video_id"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms")) for df, k in kinds]
-    return parts[0].unionByName(parts[1])
+    rows = periods_and_gaps(_periods(spark, directory), MAX_GAP_MS)
+    return rows.select("kind", F.col("entity").alias("video_id"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
 
 
 @R.query(
@@ -55,8 +52,9 @@ FROM q LEFT JOIN h ON q.video_id IS NOT DISTINCT FROM h.video_id"""
 )
 def p2_coverage(spark, directory) -> DataFrame:
     """Per video: number and length of its periods and of its gaps."""
-    periods = _periods(spark, directory)
-    held = periods.groupBy("entity").agg(F.count("*").alias("periods"), F.sum(F.col("e") - F.col("s")).alias("covered_ms"))
-    gaps = interval_gaps(periods, MAX_GAP_MS).groupBy(F.col("entity").alias("g_entity")).agg(F.count("*").alias("gaps"), F.sum(F.col("e") - F.col("s")).alias("gap_ms"))
-    out = held.join(gaps, F.col("entity").eqNullSafe(F.col("g_entity")), "left")
-    return out.select(F.col("entity").alias("video_id"), "periods", "covered_ms", F.coalesce("gaps", F.lit(0)).cast("bigint").alias("gaps"), F.coalesce("gap_ms", F.lit(0)).cast("bigint").alias("gap_ms"))
+    rows = periods_and_gaps(_periods(spark, directory), MAX_GAP_MS)
+    long = F.col("e") - F.col("s")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    return rows.groupBy(F.col("entity").alias("video_id")).agg(
+        F.count(of("period", 1)).alias("periods"), F.sum(of("period", long)).alias("covered_ms"), F.count(of("gap", 1)).alias("gaps"), F.coalesce(F.sum(of("gap", long)), F.lit(0)).alias("gap_ms")
+    )

@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talkgrid.functions.columns import clean_line, clock_seconds, percentile_nearest, seconds_clock
+from talkgrid.functions.columns import clean_line, clock_seconds, seconds_clock
 from talkgrid.functions.text import edits_within, same_word, words
-from talkgrid.operators import captions, fusion, merge
-from talkgrid.operators.intervals import bin_range_join, coalesce_intervals, interval_gaps
+from talkgrid.operators import captions, fusion, intervals, merge
+from talkgrid.operators.intervals import bin_range_join, coalesce_intervals, interval_gaps, periods_and_gaps
 from talkgrid.operators.vectors import exact_search, mean_pool
 from talkgrid.sources import files
 from talkgrid.streaming import events
@@ -46,6 +46,20 @@ def test_coalesce_matches_a_plain_merge(spark, seed):
     assert gaps == sorted(expect)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_intervals_change_no_shard(spark, monkeypatch, seed):
+    monkeypatch.setattr(intervals, "SHARDS_UP", 4)
+    rng = random.Random(seed)
+    rows = [("hot", s, s + rng.choice([1, 5, 30, 99])) for s in (rng.randrange(60000) for _ in range(800))]
+    rows += [("hot", s, s + rng.choice([100, 350, 900, 7000])) for s in (rng.randrange(50000) for _ in range(12))] + [("hot", 20000, 20000 + 10**9 if seed else 33333), (None, 150, 950)]
+    df = spark.createDataFrame(rows, "v string, s bigint, e bigint")
+    got = sorted((str(r.entity), r.s, r.e) for r in coalesce_intervals(df, "v", "s", "e", shard_ms=100).collect())
+    assert got == sorted((str(v), s, e) for v in ("hot", None) for s, e in merged([r[1:] for r in rows if r[0] == v]))
+    both = [(r.kind, r.s, r.e) for r in periods_and_gaps(coalesce_intervals(df, "v", "s", "e", shard_ms=100), 40, shard_ms=300).filter("entity = 'hot'").collect()]
+    m = merged([r[1:] for r in rows if r[0] == "hot"])
+    assert sorted(both) == sorted([("period", *x) for x in m] + [("gap", a[1], b[0]) for a, b in zip(m, m[1:]) if b[0] - a[1] <= 40])
+
+
 def test_coalesce_of_nothing(spark):
     empty = spark.createDataFrame([], "v string, s bigint, e bigint")
     assert coalesce_intervals(empty, "v", "s", "e").count() == 0
@@ -105,12 +119,12 @@ def test_captions(spark):
         captions.fixed_windows(cues, 30, 0)
 
 
-def test_clocks_lines_percentile(spark):
+def test_clocks_and_lines(spark):
     row = spark.range(1).select(
         clock_seconds(F.lit("01:02:03.500")).alias("a"), clock_seconds(F.lit("2:03")).alias("b"), seconds_clock(F.lit(3723.5)).alias("c"), seconds_clock(F.lit(-1.0)).alias("d"),
-        clean_line(F.lit(">> <i>a</i>&amp;lt;  b ")).alias("e"), percentile_nearest(F.array(*[F.lit(float(i)) for i in range(1, 21)]), 0.95).alias("f"), percentile_nearest(F.array().cast("array<double>"), 0.95).alias("g"),
+        clean_line(F.lit(">> <i>a</i>&amp;lt;  b ")).alias("e"),
     ).first()
-    assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g) == (3723.5, None, "01:02:03.500", "00:00:00.000", "a&lt; b", 20.0, 0.0)
+    assert (row.a, row.b, row.c, row.d, row.e) == (3723.5, None, "01:02:03.500", "00:00:00.000", "a&lt; b")
 
 
 def test_words():
