@@ -7,8 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARD_MS = 3_600_000
-#: Shards of one level that a shard of the next level holds.
-SHARDS_UP = 512
 
 
 def to_ms(seconds: Column) -> Column:
@@ -31,11 +29,8 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "__isl").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__isl")
 
 
-def _merged(rows: DataFrame, widths: list[int]) -> DataFrame:
-    """Islands ``(entity, s, e)`` of the rows by shards of the first width, stitched by the next ones."""
-    if not widths:
-        return _islands(rows, ["entity"])
-    w = widths[0]
+def _merged(rows: DataFrame, w: int) -> DataFrame:
+    """Islands ``(entity, s, e)`` of the rows, merged in shards of width ``w`` and stitched per entity."""
     first, last = F.floor(F.col("s") / w), F.floor((F.col("e") - 1) / w)
     head = F.struct(first.alias("k"), F.col("s"), F.least(F.col("e"), (first + 1) * w).alias("e"))
     tail = F.when(last > first, F.struct(last.alias("k"), (last * w).alias("s"), F.col("e")))
@@ -44,7 +39,7 @@ def _merged(rows: DataFrame, widths: list[int]) -> DataFrame:
     across = rows.filter(last > first + 1).select("entity", ((first + 1) * w).alias("s"), (last * w).alias("e")).groupBy("entity", "s").agg(F.max("e").alias("e"))
     local = _islands(pieces, ["entity", "k"])
     touch = (F.col("s") == F.col("k") * w) | (F.col("e") == (F.col("k") + 1) * w)
-    stitched = _merged(local.filter(touch).select("entity", "s", "e").unionByName(across), widths[1:])
+    stitched = _islands(local.filter(touch).select("entity", "s", "e").unionByName(across), ["entity"]).select("entity", "s", "e")
     # islands inside a shard that a long interval covers whole are part of it; one row a shard is looked at
     inner = local.filter(~touch)
     named = lambda df: df.select(F.col("entity").alias("__ent")).distinct()
@@ -63,16 +58,16 @@ def coalesce_intervals(df: DataFrame, entity: str, start_ms: str, end_ms: str, s
        the whole shards between; pieces are reduced to one row per (entity, shard, start) before anything
        is sorted.  The width of a shard is fixed: no interval, however long, changes how the others
        are spread, and an entity with a third of all rows lies in as many tasks as it has shards.
-    2. Each shard is merged on its own.  Only islands that touch a shard boundary (at most two per
-       shard) and the rows between go on; they are stitched in shards ``SHARDS_UP`` times as wide, and
-       what touches the boundaries of those per entity.
+    2. Each shard is merged on its own.  Only islands that touch a shard boundary and the rows between go
+       on to be stitched per entity: at most three an occupied shard, so a task's share follows from the
+       stretch of time an entity covers (26,000 rows a year of whole hours), not from its number of rows.
 
     Rows with a null bound or ``end <= start`` take no part; a null entity is an entity of its
     own; touching intervals continue a period; an empty table gives no rows.  Extra columns are
     ignored.
     """
     ok = df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{start_ms}`").cast("bigint").alias("s"), F.col(f"`{end_ms}`").cast("bigint").alias("e")).filter("e > s")
-    return _merged(ok, [shard_ms, shard_ms * SHARDS_UP])
+    return _merged(ok, shard_ms)
 
 
 def with_next(periods: DataFrame, shard_ms: int = SHARD_MS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions.columns import clean_line, clock_seconds, seconds_clock
 from talkgrid.functions.text import edits_within, same_word, words
-from talkgrid.operators import captions, fusion, intervals, merge
+from talkgrid.operators import captions, fusion, merge
 from talkgrid.operators.intervals import bin_range_join, coalesce_intervals, interval_gaps, periods_and_gaps
 from talkgrid.operators.vectors import exact_search, mean_pool
 from talkgrid.sources import files
@@ -47,8 +47,7 @@ def test_coalesce_matches_a_plain_merge(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_long_intervals_change_no_shard(spark, monkeypatch, seed):
-    monkeypatch.setattr(intervals, "SHARDS_UP", 4)
+def test_long_intervals_change_no_shard(spark, seed):
     rng = random.Random(seed)
     rows = [("hot", s, s + rng.choice([1, 5, 30, 99])) for s in (rng.randrange(60000) for _ in range(800))]
     rows += [("hot", s, s + rng.choice([100, 350, 900, 7000])) for s in (rng.randrange(50000) for _ in range(12))] + [("hot", 20000, 20000 + 10**9 if seed else 33333), (None, 150, 950)]
