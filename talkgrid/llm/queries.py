@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
-from talkgrid.llm.overlap import cross_split_overlaps
+from talkgrid.llm.overlap import Overlaps, cross_split_overlaps
 from talkgrid.llm.pairs import defective_pairs
 from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
@@ -35,14 +35,14 @@ def _gold(spark, directory) -> DataFrame:
     return out.select("*", F.col("place.kind").alias("kind"), F.col("place.v").alias("v")).filter(~((F.col("kind") == "span") & F.col("at").isNull())).drop("place")
 
 
-def _overlaps(spark, directory) -> DataFrame:
+def _overlaps(spark, directory) -> Overlaps:
     return cross_split_overlaps(_gold(spark, directory), "id", "question", "is_eval", ["kind", "v"], "at", MOMENT_SEC)
 
 
 @R.query()
 def p1_found(spark, directory) -> DataFrame:
     """Pairs of an evaluation and a training record that ask the same about the same moment."""
-    pairs = _overlaps(spark, directory)
+    pairs = _overlaps(spark, directory).records()
     return pairs.select(F.least("e_id", "t_id").alias("id_a"), F.greatest("e_id", "t_id").alias("id_b")).filter("id_a < id_b").distinct()
 
 
@@ -50,8 +50,7 @@ def p1_found(spark, directory) -> DataFrame:
 def p1_report(spark, directory) -> DataFrame:
     """Per evaluation split and source: records, records that overlap, and overlapping pairs."""
     gold = _gold(spark, directory).filter("is_eval").select(F.col("id").alias("e_id"), "split", "curator").distinct()
-    hits = _overlaps(spark, directory).groupBy("e_id").agg(F.count("*").alias("pairs"))
-    seen = gold.join(hits, "e_id", "left")
+    seen = gold.join(_overlaps(spark, directory).counts(), "e_id", "left")
     return seen.groupBy("split", F.col("curator").alias("source")).agg(
         F.countDistinct("e_id").alias("eval_records"), F.countDistinct(F.when(F.col("pairs") > 0, F.col("e_id"))).alias("overlapping_records"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
     )

@@ -13,7 +13,9 @@ from talkgrid.llm.functions.splitting import split_text, token_spans
 from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
-from talkgrid.llm.overlap import contained, cross_split_overlaps
+from talkgrid.llm import overlap
+from talkgrid.llm.functions.sameness import contained
+from talkgrid.llm.overlap import cross_split_overlaps
 from talkgrid.llm.pairs import defective_pairs, label_model
 from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
@@ -42,29 +44,54 @@ def test_overlaps_find_rewordings_of_the_same_moment_only(spark):
         ("t6", None, False, None, None, "", ""), ("e3", "", True, None, None, "", ""), ("n", q, None, "v", 10.0, "", ""),
     ]
     filler = [(f"f{i}", f"What does the talk say about the {WORDS[i % 80]} {WORDS[(7 * i) % 80]} of the {WORDS[(3 * i + 1) % 80]}?", i % 4 == 0, f"x{i}", float(i), "", "") for i in range(120)]
-    found = {(r.e_id, r.t_id) for r in cross_split_overlaps(gold(spark, rows + filler), "id", "question", "ev", ["v"], "at", 5.0).collect()}
+    found = {(r.e_id, r.t_id) for r in cross_split_overlaps(gold(spark, rows + filler), "id", "question", "ev", ["v"], "at", 5.0).records().collect()}
     assert found == {("e1", "t1"), ("e2", "t5")}
-    assert cross_split_overlaps(gold(spark, []), "id", "question", "ev", ["v"], "at", 5.0).count() == 0
+    none = cross_split_overlaps(gold(spark, []), "id", "question", "ev", ["v"], "at", 5.0)
+    assert none.records().count() == 0 and none.counts().count() == 0
 
 
-def test_overlaps_match_all_pairs(spark):
+def test_contained_is_of_the_evaluation_record():
+    long = "what is the reason that the golden cache of this service was moved to another region last year".split()
+    assert contained(long[:9], long) and not contained(long, long[:9]) and not contained(long, ["why"]) and not contained(long, "what is the".split())
+    assert contained(["why"], ["why"]) and not contained(["why"], ["why", "not"]) and not contained([], ["why"]) and not contained(["why"], [])
+    assert contained(long[:9], [*(f"x{i}" for i in range(300)), *long[:9], "end"]) and not contained("how did they fill the cache".split(), "how did they fill the queue".split())
+    assert contained("how does the presenter fill the cache".split(), "how does the speakker fill the cache".split())
+
+
+def test_overlaps_match_all_pairs(spark, monkeypatch):
+    """Equal to brute force: unequal lengths, fragments, slips, copies and one hot place with salted words."""
+    monkeypatch.setattr(overlap, "SALT_ROWS", 40)
     rng = random.Random(2)
     rows = []
-    for i in range(150):
-        t = [rng.choice(WORDS) for _ in range(9)]
-        rows.append((f"e{i}", " ".join(t), True, rng.choice(["a", "b"]), float(rng.randrange(40)), "", ""))
-        if rng.random() < 0.6:
-            u = list(t)
-            rng.shuffle(u) if rng.random() < 0.1 else u.insert(3, "please")
-            rows.append((f"t{i}", " ".join(u), False, rows[-1][3], rows[-1][4] + rng.randrange(-7, 8), "", ""))
-    found = {(r.e_id, r.t_id) for r in cross_split_overlaps(gold(spark, rows), "id", "question", "ev", ["v"], "at", 5.0).collect()}
-    n, df = len(rows), {}
-    for r in rows:
-        for w in set(r[1].split()):
-            df[w] = df.get(w, 0) + 1
-    rare = {w for w, c in df.items() if c < max(2, 0.05 * n)}
-    want = {(a[0], b[0]) for a in rows for b in rows if a[2] and not b[2] and a[3] == b[3] and abs(a[4] - b[4]) <= 5 and contained(a[1].split(), b[1].split(), rare)}
-    assert found <= want and len(want - found) <= 0.02 * len(want)
+    slip = lambda w: w[:2] + w[3:] if len(w) > 3 and rng.random() < 0.15 else w
+    for i in range(220):
+        t = [rng.choice(WORDS) for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 9, 14, 19]))]
+        place, at = rng.choice([("hot", None), ("hot", None), ("a", float(rng.randrange(40))), ("b", float(rng.randrange(40)))])
+        rows.append((f"e{i}", " ".join(t), True, place, at, "", ""))
+        for j in range(rng.randrange(3)):
+            u = [slip(w) for w in t]
+            kind = rng.randrange(6)
+            if kind == 0:
+                rng.shuffle(u)
+            elif kind == 1:
+                u = u[: max(1, len(u) // 2)]
+            elif kind == 2:
+                u = [rng.choice(WORDS) for _ in range(rng.choice([2, 30, 70]))] + u + [rng.choice(WORDS) for _ in range(5)]
+            elif kind == 3:
+                u.insert(len(u) // 2, "please")
+            elif kind == 4:
+                u[rng.randrange(len(u))] = rng.choice(WORDS)
+            rows.append((f"t{i}.{j}", " ".join(u), False, place, None if at is None else at + rng.randrange(-7, 8), "", ""))
+    rows += [(f"c{i}", "kalan kalid kalos kalul morid", False, "hot", None, "", "") for i in range(90)] + [("ec", "kalan kalid kalos kalul morid", True, "hot", None, "", "")]
+    got = cross_split_overlaps(gold(spark, rows), "id", "question", "ev", ["v"], "at", 5.0)
+    found = {(r.e_id, r.t_id) for r in got.records().collect()}
+    near = lambda a, b: a[3] == b[3] and ((a[4] is None and b[4] is None) or (a[4] is not None and b[4] is not None and abs(a[4] - b[4]) <= 5))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] and not b[2] and near(a, b) and contained(a[1].split(), b[1].split())}
+    assert found == want and len(want) > 150
+    per = {}
+    for e, _ in want:
+        per[e] = per.get(e, 0) + 1
+    assert {r.e_id: r.pairs for r in got.counts().collect()} == per
 
 
 # --- 3 similar vectors ---------------------------------------------------------------------------
