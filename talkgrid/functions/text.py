@@ -13,8 +13,12 @@ CONFUSABLES = {
 }
 _FOLD = str.maketrans(CONFUSABLES)
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _POSSESSIVE = re.compile(r"(?<=\w)['’]s\b")
 _LATIN = re.compile(r"[a-zà-ÿ]")
+_FOREIGN = re.compile(r"[\u0370-\u052f]")
+#: Anything that compatibility composition may change, or that is invisible; plain Western European text has none.
+_ODD = re.compile(r"[\xa0\xa8\xaa\xad\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe]|[^\x00-\xff\u2010-\u2016\u2018-\u201f\u2020-\u2022\u20ac]")
 
 
 def _fold_word(word: str) -> str:
@@ -30,16 +34,23 @@ def plain(text: str | None) -> str:
         return ""
     if text.isascii():
         return text.lower()
-    shown = unicodedata.normalize("NFKC", text)
-    # drop format characters (zero-width, byte-order marks) and soft hyphens
-    shown = "".join(ch for ch in shown if unicodedata.category(ch) != "Cf")
+    shown = text
+    if _ODD.search(text):
+        shown = unicodedata.normalize("NFKC", text)
+        # drop format characters (zero-width, byte-order marks) and soft hyphens
+        shown = "".join(ch for ch in shown if ch.isascii() or unicodedata.category(ch) != "Cf")
     return shown.casefold() if "ß" not in shown else shown.lower()
 
 
 def words(text: str | None) -> list[str]:
     """Words of letters and digits of the normalized text, possessives split off."""
-    shown = _POSSESSIVE.sub("", plain(text))
-    return [_fold_word(w) for w in _WORD.findall(shown)]
+    shown = plain(text)
+    if "'" in shown or "’" in shown:
+        shown = _POSSESSIVE.sub("", shown)
+    if shown.isascii():
+        return _ASCII_WORD.findall(shown)
+    found = _WORD.findall(shown)
+    return [_fold_word(w) for w in found] if _FOREIGN.search(shown) else found
 
 
 def edits_within(a: str, b: str, limit: int) -> bool:

@@ -8,6 +8,7 @@ from talkgrid.functions.columns import clean_line, clock_seconds, seconds_clock
 from talkgrid.functions.text import edits_within, same_word, words
 from talkgrid.operators import captions, fusion, merge
 from talkgrid.operators.intervals import bin_range_join, coalesce_intervals, interval_gaps, periods_and_gaps
+from talkgrid.operators.skew import salted_join
 from talkgrid.operators.vectors import exact_search, mean_pool
 from talkgrid.sources import files
 from talkgrid.streaming import events
@@ -194,3 +195,10 @@ def test_stream_windows(spark, data, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(events) AS n FROM hours").first().n == src.count()
+
+
+def test_salted_join_loses_no_row_of_a_hot_key(spark):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i) for i in range(600)] + [(None, 1000)]
+    probes = [("hot", "a"), ("hot", "b"), ("k3", "c"), ("none", "d"), (None, "e")]
+    got = salted_join(spark.createDataFrame(probes, "x string, p string"), spark.createDataFrame(rows, "x string, r int"), ["x"], "r", 50)
+    assert sorted((r.p, r.r) for r in got.collect()) == sorted((p, r) for x, p in probes for y, r in rows if x == y and x is not None)
