@@ -12,8 +12,8 @@ from talkgrid.functions.text import words
 
 _CUE_NUMBER = re.compile(r"(?m)^\s*\d+\s*\r?\n(?=\s*\d{1,2}:\d{2})")
 _TIME = re.compile(r"[\[(<]?\b\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\b[\])>]?|-->")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
-_LINK = re.compile(r"\]\([^()\s]{1,500}\)")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+_LINK = re.compile(r"\]\([^()\s]+\)")
 #: Fixed odd multiplier of the rolling hash.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -34,13 +34,25 @@ def passage_words(text: str | None) -> list[str]:
     return words(shown)
 
 
+#: Hashes of words met before in this process; emptied when it holds ``_SEEN_WORDS``.
+_SEEN: dict[str, int] = {}
+_SEEN_WORDS = 1 << 20
+
+
+def word_hashes(tokens: list[str]) -> np.ndarray:
+    """Hash of every word."""
+    if len(_SEEN) > _SEEN_WORDS:
+        _SEEN.clear()
+    get, put = _SEEN.get, _SEEN.setdefault
+    return np.fromiter((get(t) or put(t, xxhash.xxh64_intdigest(t.encode()) | 1) for t in tokens), np.uint64, len(tokens))
+
+
 def gram_hashes(tokens: list[str], k: int) -> np.ndarray:
     """Hash of every run of ``k`` words, as unsigned 64-bit integers."""
     n = len(tokens) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    seen: dict[str, int] = {}
-    base = np.fromiter((seen.get(t) or seen.setdefault(t, xxhash.xxh64_intdigest(t.encode()) | 1) for t in tokens), np.uint64, len(tokens))
+    base = word_hashes(tokens)
     out, factor = np.zeros(n, np.uint64), 1
     for j in range(k):
         out += base[j : j + n] * np.uint64(factor)
@@ -65,19 +77,20 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(len(hashes) - 1 - at)
 
 
-def longest_common_run(a: list[str], b: list[str], k: int) -> tuple[int, int]:
+def longest_common_run(a: list[str], b: list[str], ga: np.ndarray, gb: np.ndarray, k: int) -> tuple[int, int]:
     """Length of the longest run of words of at least ``k`` that stands in both, and where in ``a``.
 
-    Hits of ``k`` equal words are extended to the right as far as the words agree; hits inside a
-    run already extended on the same diagonal are passed over.
+    ``ga`` and ``gb`` are the hashes of the runs of ``k`` words; equal ones are tested word by word and
+    extended to the right as far as the words agree.  A hit inside a run already extended on the same
+    diagonal is passed over.
     """
-    at: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(b) - k + 1):
-        at.setdefault(tuple(b[j : j + k]), []).append(j)
+    order = np.argsort(gb, kind="stable")
+    ranked = gb[order]
+    low, high = np.searchsorted(ranked, ga, "left"), np.searchsorted(ranked, ga, "right")
     best, where, done = 0, -1, {}
-    for i in range(len(a) - k + 1):
-        for j in at.get(tuple(a[i : i + k]), ()):
-            if done.get(i - j, -1) > i:
+    for i in np.flatnonzero(high > low).tolist():
+        for j in order[low[i] : high[i]].tolist():
+            if done.get(i - j, -1) > i or a[i : i + k] != b[j : j + k]:
                 continue
             n = k
             while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:

@@ -319,10 +319,17 @@ def test_winnowing_guarantee():
         b = [rng.choice(WORDS) for _ in range(rng.randrange(30))] + shared + [rng.choice(WORDS) for _ in range(rng.randrange(30))]
         ha, hb = gram_hashes(a, 6), gram_hashes(b, 6)
         assert set(ha[winnow(ha, 7)]) & set(hb[winnow(hb, 7)])
-        assert longest_common_run(a, b, 6)[0] >= 12
+        assert longest_common_run(a, b, ha, hb, 6)[0] >= 12
     assert len(gram_hashes(["a"], 6)) == 0 and len(winnow(np.empty(0, np.uint64), 7)) == 0
 
 
+def test_markup_of_any_length_does_not_break_a_run():
+    run = " ".join(WORDS[:6]) + "{}" + " ".join(WORDS[6:12])
+    for between in (f'<span style="{"x" * 900}">', f" [link](https://{'y' * 2000}) ", "<!-- " + "z " * 700 + "-->", "\n12\n00:01:02.000 --> 00:01:04.000\n"):
+        assert " ".join(passage_words(run.format(between))).replace("link ", "") == " ".join(WORDS[:12])
+    assert passage_words("a < b and c > d") == ["a", "b", "and", "c", "d"]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(40)), "x") for i in range(25)]
@@ -337,7 +344,10 @@ def test_leaks_against_brute_force(spark):
             body[3:3] = cut
         docs.append((d, " ".join(body), 1))
     docs += [(1000, None, 1), (1001, "", 1), (None, items[0][1], 1), (docs[0][0], docs[0][1], 1)]
-    got = {(r.doc_id, r.item_id): r.words for r in leaked_passages(spark.createDataFrame(docs, "doc_id int, text string, i int"), spark.createDataFrame(items, "item_id int, text string, d string"), "doc_id", "text", "item_id", "text").collect()}
+    run = lambda held: sorted(tuple(r) for r in leaked_passages(spark.createDataFrame(docs, "doc_id int, text string, i int"), spark.createDataFrame(items, "item_id int, text string, d string"), "doc_id", "text", "item_id", "text", held_chars=held).collect())
+    rows = run(10**6)
+    assert rows == run(0)  # items in every task, and fingerprints joined
+    got = {(d, i): n for d, i, n, _ in rows}
     want = {}
     for d, t, _ in docs:
         w = passage_words(t)
