@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bits to which a rotated query is quantized for the bitwise inner product.
-QUERY_BITS = 4
-
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix."""
@@ -31,38 +28,40 @@ def encode(vectors: np.ndarray, center: np.ndarray, rot: np.ndarray) -> tuple[np
     return pack(turned > 0), norm, np.maximum(own, 1e-6)
 
 
-class Queries:
-    """Query vectors prepared against one center: quantized bit planes and scalars."""
-
-    def __init__(self, vectors: np.ndarray, center: np.ndarray, rot: np.ndarray):
-        rest = vectors - center
-        self.norm = np.linalg.norm(rest, axis=1)
-        turned = (rest / np.maximum(self.norm, 1e-12)[:, None]) @ rot
-        self.dim = vectors.shape[1]
-        self.low = turned.min(axis=1)
-        self.step = np.maximum((turned.max(axis=1) - self.low) / (2**QUERY_BITS - 1), 1e-12)
-        whole = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
-        self.total = whole.sum(axis=1, dtype=np.int64)
-        self.planes = [pack((whole >> b) & 1 == 1) for b in range(QUERY_BITS)]
-
-    def cosine_bounds(self, codes: np.ndarray, norm: np.ndarray, own: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of the cosine of every query with every coded vector.
-
-        The inner product of a query with a code of signs comes from popcounts over the query's bit
-        planes; dividing by the code's own inner product makes the estimate unbiased, and its error is
-        at most ``eps * sqrt((1 - own^2) / own^2 / (dim - 1))`` but for a chance that falls as exp(-eps^2).
-        """
-        root = np.sqrt(self.dim)
-        hits = np.zeros((len(self.norm), len(norm)), np.float32)
-        for b, plane in enumerate(self.planes):
-            for w in range(codes.shape[1]):
-                hits += np.bitwise_count(plane[:, w, None] & codes[None, :, w]) * np.float32(1 << b)
-        ones = np.bitwise_count(codes).sum(axis=1).astype(np.float32)
-        # <signs, q> = 2 * (step * hits + low * ones) - (step * total + low * dim), over sqrt(dim)
-        dot = (2 * (self.step[:, None] * hits + self.low[:, None] * ones) - (self.step * self.total + self.low * self.dim)[:, None]) / root
-        estimate = dot / own
-        error = eps * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / max(1, self.dim - 1)) + self.step[:, None] / (2 * own)
-        scale = self.norm[:, None] * norm
-        # for unit vectors cos = 1 - |o - q|^2 / 2
-        base = 1 - (self.norm[:, None] ** 2 + norm**2) / 2
-        return base + scale * (estimate - error), base + scale * (estimate + error)
+def signs(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Packed codes as rows of -1 and 1."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, count=None, bitorder="little")[:, :dim]
+    return bits.astype(np.float32) * 2 - 1
+
+
+class Codes:
+    """Coded vectors of one list, made ready to bound their cosine with many queries by one matrix product.
+
+    With o the coded and q the query vector, both of length 1, and c the center, the cosine is
+    ``1 - |q - c|^2 / 2 - |o - c|^2 / 2 + <q - c, o - c>``.  The last term is estimated by the inner product of the
+    rotated query with the code's signs, divided by the code's own inner product, which makes it
+    unbiased; its error is at most ``eps * |q - c| * |o - c| * sqrt((1 - own^2) / own^2 / (dim - 1))`` but for a chance
+    that falls as exp(-eps^2).
+    """
+
+    def __init__(self, codes: np.ndarray, norm: np.ndarray, own: np.ndarray, center: np.ndarray, rot: np.ndarray, eps: float):
+        self.center, self.rot, dim = center, rot, rot.shape[0]
+        error = eps * norm * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / max(1, dim - 1))
+        scaled = signs(codes, dim) * (norm / own / np.sqrt(dim))[:, None]
+        self.matrix = np.column_stack([scaled, -(norm**2) / 2, np.ones(len(norm)), error]).astype(np.float32)
+
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        """Query rows against which ``upper`` and ``lower`` are taken."""
+        rest = vectors - self.center
+        norm = np.linalg.norm(rest, axis=1)
+        return np.column_stack([rest @ self.rot, np.ones(len(norm)), 1 - norm**2 / 2, norm]).astype(np.float32)
+
+    def upper(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bound of the cosine of every query with every coded vector."""
+        return queries @ self.matrix.T
+
+    def lower(self, queries: np.ndarray) -> np.ndarray:
+        """Lower bound of the same."""
+        flipped = queries.copy()
+        flipped[:, -1] *= -1
+        return flipped @ self.matrix.T

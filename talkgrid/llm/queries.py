@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkgrid.functions.text import CONFUSABLES
 from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
@@ -74,8 +75,8 @@ def p7_found(spark, directory) -> DataFrame:
 
 
 TOP = 3
-#: Lists looked into when no least similarity narrows the search.
-WIDE_PROBES = 32
+#: Lists looked into when no least similarity narrows the search: how much farther, and how many at most.
+WIDE = {"margin": 0.5, "most": 48}
 
 _LISTS_SQL = """
 WITH l0 AS (
@@ -137,13 +138,42 @@ def _leaks(spark, directory) -> DataFrame:
     return leaked_passages(table(spark, directory, "documents"), table(spark, directory, "held_out_items"), "doc_id", "text", "item_id", "text")
 
 
-@R.query()
+def _passage_sql(x: str) -> str:
+    """Words of a passage, as :func:`passage_words` reads them."""
+    for entity, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    x = f"regexp_replace({x}, '</?[A-Za-z][^<>]*>|<!--(?s:.*?)-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '\\]\\([^()\\s]+\\)', '] ', 'g')"
+    x = f"regexp_replace({x}, '(?m)^\\s*\\d+\\s*\\r?\\n(\\s*\\d{{1,2}}:\\d{{2}})', ' \\1', 'g')"
+    x = f"regexp_replace({x}, '[\\[(<]?\\b\\d{{1,2}}:\\d{{2}}(:\\d{{2}})?([.,]\\d{{1,3}})?\\b[\\])>]?|-->', ' ', 'g')"
+    x = f"lower(nfc_normalize(regexp_replace({x}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')))"
+    x = f"translate({x}, '{''.join(CONFUSABLES)}', '{''.join(CONFUSABLES.values())}')"
+    x = f"regexp_replace({x}, '([\\p{{L}}\\p{{N}}])[''’]s\\b', '\\1', 'g')"
+    return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+_LEAKS_SQL = f"""WITH d AS (SELECT DISTINCT doc_id, {_passage_sql("text")} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, {_passage_sql("text")} AS w FROM held_out_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+gd AS (SELECT doc_id, k AS kd, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+gi AS (SELECT item_id, k AS ki, array_to_string(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+m AS (SELECT DISTINCT doc_id, item_id, kd, kd - ki AS diagonal FROM gd JOIN gi USING (g)),
+r AS (SELECT *, kd - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY kd) AS island FROM m),
+l AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, diagonal, island),
+leaks AS (SELECT doc_id, item_id, CAST(max(words) AS INT) AS words FROM l GROUP BY ALL)
+"""
+
+
+@R.query(_LEAKS_SQL + "SELECT doc_id, item_id FROM leaks")
 def p8_found(spark, directory) -> DataFrame:
     """Documents that repeat at least 12 consecutive words of a held-out item."""
     return _leaks(spark, directory).select("doc_id", "item_id")
 
 
-@R.query()
+@R.query(
+    _LEAKS_SQL
+    + """, p AS (SELECT item_id, count(*) AS documents, max(words) AS longest FROM leaks GROUP BY item_id)
+SELECT DISTINCT item_id, test_set, coalesce(documents, 0) AS documents, coalesce(longest, 0) AS longest FROM held_out_items LEFT JOIN p USING (item_id)"""
+)
 def p8_report(spark, directory) -> DataFrame:
     """Per held-out item: the documents that repeat it and the longest run repeated."""
     items = table(spark, directory, "held_out_items").select("item_id", "test_set").distinct()
@@ -151,25 +181,34 @@ def p8_report(spark, directory) -> DataFrame:
     return items.join(leaks, "item_id", "left").select("item_id", "test_set", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
-@R.query()
+def _near_sql(source: str, key: str, vec: str, asked: str, least: str) -> str:
+    """Brute force: the five most similar others of every vector asked for."""
+    finite = f"{vec} IS NOT NULL AND len({vec}) > 0 AND len(list_filter({vec}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({vec}, lambda x: x <> 0)) > 0"
+    return f"""WITH v AS (SELECT DISTINCT {key} AS id, CAST({vec} AS DOUBLE[]) AS vec FROM {source} WHERE {key} IS NOT NULL AND {finite}),
+s AS (SELECT a.id, b.id AS neighbour, max(round(list_cosine_similarity(a.vec, b.vec), 7)) AS sim FROM v a JOIN v b ON a.id <> b.id AND len(a.vec) = len(b.vec) WHERE {asked} GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbour) AS r FROM s WHERE {least})
+"""
+
+
+@R.query(_near_sql("dense_embeds", "chunk_id", "dense", "true", "sim >= 0.86") + "SELECT DISTINCT least(id, neighbour) AS chunk_a, greatest(id, neighbour) AS chunk_b FROM t WHERE r <= 5")
 def p3_found(spark, directory) -> DataFrame:
     """Pairs of chunks with a cosine of at least 0.86, one among the other's five most similar."""
     near = nearest_vectors(table(spark, directory, "dense_embeds"), "chunk_id", "dense", 5, 0.86)
     return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
-@R.query()
+@R.query(_near_sql("dense_embeds", "chunk_id", "dense", "a.id % 50 = 0", "true") + "SELECT id AS chunk_id, neighbour, round(sim + 1e-9, 5) AS sim FROM t WHERE r <= 5")
 def p3_neighbours(spark, directory) -> DataFrame:
     """The five most similar chunks, whatever the similarity, of every chunk whose id is divisible by 50."""
-    near = nearest_vectors(table(spark, directory, "dense_embeds"), "chunk_id", "dense", 5, ask=F.col("chunk_id") % 50 == 0, probes=WIDE_PROBES)
-    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("sim", 6).alias("sim"))
+    near = nearest_vectors(table(spark, directory, "dense_embeds"), "chunk_id", "dense", 5, ask=F.col("chunk_id") % 50 == 0, **WIDE)
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round(F.col("sim") + 1e-9, 5).alias("sim"))
 
 
-@R.query()
+@R.query(_near_sql("frame_samples", "frame_id", "pooled_embedding", "a.id % 50 = 0", "true") + "SELECT id AS frame_id, neighbour, round(sim + 1e-9, 5) AS sim FROM t WHERE r <= 5")
 def p3_frames(spark, directory) -> DataFrame:
     """The same over the pooled vectors of frames whose id is divisible by 50."""
-    near = nearest_vectors(table(spark, directory, "frame_samples"), "frame_id", "pooled_embedding", 5, ask=F.col("frame_id") % 50 == 0, probes=WIDE_PROBES)
-    return near.select(F.col("id").alias("frame_id"), "neighbour", F.round("sim", 6).alias("sim"))
+    near = nearest_vectors(table(spark, directory, "frame_samples"), "frame_id", "pooled_embedding", 5, ask=F.col("frame_id") % 50 == 0, **WIDE)
+    return near.select(F.col("id").alias("frame_id"), "neighbour", F.round(F.col("sim") + 1e-9, 5).alias("sim"))
 
 
 def _defects(spark, directory) -> DataFrame:

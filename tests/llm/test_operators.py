@@ -100,7 +100,9 @@ def test_one_bit_bounds_hold():
     x = rng.standard_normal((400, 96))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rot, center = onebit.rotation(96), x[:50].mean(axis=0)
-    low, high = onebit.Queries(x[:40], center, rot).cosine_bounds(*onebit.encode(x, center, rot), 2.6)
+    codes = onebit.Codes(*onebit.encode(x, center, rot), center, rot, 2.6)
+    low, high = codes.lower(codes.queries(x[:40])), codes.upper(codes.queries(x[:40]))
+    assert codes.matrix.shape == (400, 99) and set(np.unique(onebit.signs(onebit.pack(x > 0), 96))) == {-1.0, 1.0}
     true = x[:40] @ x.T
     assert ((low <= true) & (true <= high)).mean() > 0.98
 
@@ -114,7 +116,7 @@ def test_similar_vectors_against_brute_force(spark):
     rows += [(1000 + i, hot, 0) for i in range(200)]  # a quarter of all rows are copies
     rows += [(5000, None, 0), (5001, [0.0] * 64, 0), (5002, [float("nan")] * 64, 0), (5003, [1.0, 2.0], 0), (None, hot, 0), (4, rows[4][1], 0), (5004, [None] * 64, 0)]
     df = spark.createDataFrame(rows, "chunk bigint, dense array<float>, vid int")
-    got = nearest_vectors(df, "chunk", "dense", 5, 0.5, block_rows=64).collect()
+    got = nearest_vectors(df, "chunk", "dense", 5, 0.5, list_rows=40, block_rows=24, margin=0.4).collect()
     ids = [r[0] for r in rows if r[0] is not None and r[0] < 5000][:700]
     vec = {r[0]: np.array(r[1], dtype=np.float64) for r in rows if r[0] in set(ids)}
     ids = sorted(vec)
