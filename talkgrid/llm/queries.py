@@ -85,15 +85,14 @@ WITH l0 AS (
   UNION ALL
   SELECT query_id, '(rerank)', chunk_id, max(CASE WHEN isfinite(rerank_score) THEN rerank_score END), NULL
   FROM reranked_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
-l1 AS (SELECT *, max(CASE WHEN score IS NOT NULL THEN rank END) OVER w AS r, count(score) OVER w AS n FROM l0 WHERE score IS NOT NULL OR rank IS NOT NULL
-       WINDOW w AS (PARTITION BY query_id, channel ORDER BY score DESC NULLS LAST)),
-l2 AS (SELECT query_id, channel, chunk_id, CAST(coalesce(rank, r + 1, n) AS DOUBLE) AS o FROM l1),
+l1 AS (SELECT *, count(score) OVER (PARTITION BY query_id, channel ORDER BY score DESC NULLS LAST) AS n FROM l0 WHERE score IS NOT NULL OR rank IS NOT NULL),
+l2 AS (SELECT query_id, channel, chunk_id, CAST(CASE WHEN score IS NULL THEN rank ELSE n END AS BIGINT) AS o FROM l1),
 l3 AS (SELECT *, greatest(count(*) OVER (PARTITION BY query_id, channel), max(o) OVER (PARTITION BY query_id, channel)) AS m FROM l2),
-l4 AS (SELECT query_id, channel, chunk_id, (m - o + 1) / m AS x FROM l3),
+l4 AS (SELECT query_id, channel, chunk_id, (2000000 * (m - o + 1) + m) // (2 * m) AS x FROM l3),
 items AS (SELECT DISTINCT query_id, chunk_id FROM l4), lists AS (SELECT DISTINCT query_id, channel FROM l4),
 g AS (SELECT i.query_id, i.chunk_id, l.channel, coalesce(x, 0) AS x FROM items i JOIN lists l USING (query_id) LEFT JOIN l4 USING (query_id, chunk_id, channel)),
-s AS (SELECT *, sum(x) OVER (PARTITION BY query_id, channel) AS sx, count(*) OVER (PARTITION BY query_id, channel) AS n FROM g),
-f AS (SELECT query_id, chunk_id, sum((n * x - sx) / greatest(n - 1, 1)) AS net FROM s GROUP BY ALL)
+d AS (SELECT a.query_id, a.chunk_id, sum(greatest(0, least(450000, a.x - b.x - 50000)) - greatest(0, least(450000, b.x - a.x - 50000))) AS d FROM g a JOIN g b USING (query_id, channel) GROUP BY ALL),
+f AS (SELECT query_id, chunk_id, d / (450000.0 * greatest(count(*) OVER (PARTITION BY query_id) - 1, 1)) AS net FROM d)
 """
 
 

@@ -200,7 +200,7 @@ def test_cutoffs_on_spoiled_answers(spark):
 
 
 # --- 5 one ranking -------------------------------------------------------------------------------
-def brute_flow(rows):
+def brute_flow(rows, q, p):
     lists, items = {}, {}
     for g, c, i, s, r in rows:
         if g is None or c is None or i is None or (s is None and r is None):
@@ -208,27 +208,21 @@ def brute_flow(rows):
         lists.setdefault((g, c), {})[i] = (s, r)
         items.setdefault(g, set()).add(i)
     net = {}
-    for (g, c), own in lists.items():
-        pos = {}
-        for i, (s, r) in own.items():
-            if r is not None:
-                pos[i] = float(r)
-            else:
-                better = [x[1] for x in own.values() if x[0] is not None and x[0] >= s and x[1] is not None]
-                pos[i] = max(better) + 1.0 if better else float(sum(1 for x in own.values() if x[0] is not None and x[0] >= s))
+    for (g, _), own in lists.items():
+        pos = {i: r if s is None else sum(1 for x in own.values() if x[0] is not None and x[0] >= s) for i, (s, r) in own.items()}
         m = max(len(own), max(pos.values()))
-        x = {i: (m - pos[i] + 1) / m if i in pos else 0.0 for i in items[g]}
+        x = {i: (2 * 10**6 * (m - pos[i] + 1) + m) // (2 * m) if i in pos else 0 for i in items[g]}
+        prefer = lambda d: max(0, min(p - q, d - q)) / (p - q)
         for a in items[g]:
-            up = sum(max(0, x[a] - x[b]) for b in items[g])
-            down = sum(max(0, x[b] - x[a]) for b in items[g])
-            p, q = net.get((g, a), (0.0, 0.0))
+            up, down = sum(prefer(x[a] - x[b]) for b in items[g]), sum(prefer(x[b] - x[a]) for b in items[g])
             n = max(1, len(items[g]) - 1)
-            net[g, a] = (p + up / n, q + down / n)
+            before = net.get((g, a), (0.0, 0.0))
+            net[g, a] = (before[0] + up / n, before[1] + down / n)
     return net
 
 
-@pytest.mark.parametrize("shard", [100000, 4])
-def test_net_flow_against_all_pairs(spark, shard):
+@pytest.mark.parametrize("shard,q,p", [(100000, 50_000, 500_000), (4, 50_000, 500_000), (10, 0, 1_000_000), (100000, 0, 10)])
+def test_net_flow_against_all_pairs(spark, shard, q, p):
     rng = random.Random(4)
     rows = []
     for g in ("q1", "q2"):
@@ -240,11 +234,11 @@ def test_net_flow_against_all_pairs(spark, shard):
                 rows.append((g, c, i, None if rng.random() < 0.1 and rank else s, rank))
     rows += [rows[0], (None, "a", 1, 1.0, 1), ("q1", "a", None, 1.0, 1), ("q1", "a", 99, None, None)]
     df = spark.createDataFrame(rows, "g string, c string, i int, s double, r int")
-    got = {(x.g, x.i): (x.positive, x.negative) for x in net_flow(df, "g", "c", "i", "s", "r", shard_rows=shard).collect()}
-    want = brute_flow(rows)
+    got = {(x.g, x.i): (x.positive, x.negative) for x in net_flow(df, "g", "c", "i", "s", "r", indifferent=q, preferred=p, shard_rows=shard).collect()}
+    want = brute_flow(rows, q, p)
     assert got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
-    best = {(x.g, x.i) for x in top_items(net_flow(df, "g", "c", "i", "s", "r", shard_rows=shard), "g", "i", 3).collect()}
+    best = {(x.g, x.i) for x in top_items(net_flow(df, "g", "c", "i", "s", "r", indifferent=q, preferred=p, shard_rows=shard), "g", "i", 3).collect()}
     assert best == {(g, i) for g in ("q1", "q2") for i in sorted((i for h, i in want if h == g), key=lambda i: (-round(want[g, i][0] - want[g, i][1], 9), i))[:3]}
     assert net_flow(df.limit(0), "g", "c", "i", "s", "r").count() == 0
 
