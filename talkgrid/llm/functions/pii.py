@@ -37,15 +37,19 @@ _LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 _LOCAL = r"[\w](?:[\w.+%'-]{0,62}[\w+])?"
 _DOT = r"(?:\.|[ \t]?[\[(]\s?(?:dot|punkt|punto|point)\s?[\])][ \t]?)"
 _EMAIL = [
-    re.compile(rf"(?<![\w.+@-]){_LOCAL}[ \t]?@[ \t]?(?:{_LABEL}{_DOT}){{1,6}}{_L}{{2,24}}(?![\w@])"),
+    re.compile(rf"(?<![\w.+@-]){_LOCAL}[ \t]?@[ \t]?(?:{_LABEL}{_DOT}){{1,127}}{_L}{{2,24}}(?![\w@])"),
     re.compile(rf"(?<![\w.+@-]){_LOCAL}[ \t]?[\[({{]\s?(?:at|ät|arroba|arobase)\s?[\])}}][ \t]?(?:{_LABEL}{_DOT}){{1,6}}{_L}{{2,24}}(?![\w@])", re.I),
-    re.compile(rf"(?<![\w.+@-]){_LOCAL} (?:at|arroba|arobase) (?:{_LABEL} (?:dot|punkt|punto|point) ){{1,6}}{_L}{{2,24}}(?![\w@])", re.I),
+    re.compile(rf"(?<![\w.+@-]){_LOCAL} (?:at|arroba|arobase) (?:{_LABEL} (?:dot|punkt|punto|point) ){{1,127}}{_L}{{2,24}}(?![\w@])", re.I),
 ]
 
 
 _AT_SIGN = re.compile(r"@|[\[({]\s?(?:at|ät|arroba|arobase)\s?[\])}]|\s(?:dot|punkt|punto|point)\s", re.I)
 
 
+_WORD_REST = re.compile(r"\S*")
+_MORE_LABELS = re.compile(r"[ \t]?[\[(]?\s?(?:dot|punkt|punto|point)\s?[\])]?[ \t]?\S+|(?<=dot|nkt|nto|int)[ \t]\S+|(?<=dot[\])]|nkt[\])]|nto[\])]|int[\])])[ \t]\S+", re.I)
+
+
 def emails(text: str) -> list[Found]:
     """Addresses, also with spelled-out signs; only the neighbourhood of a sign is looked at."""
     out: dict[tuple[int, int], Found] = {}
@@ -54,9 +58,12 @@ def emails(text: str) -> list[Found]:
         if sign.start() < done:
             continue
         low, high = max(0, sign.start() - 130), min(len(text), sign.end() + 230)
-        # whole words only, so that no address is cut by the edge of the neighbourhood
+        # whole words only, and all further labels, so that no address is cut by the edge of the neighbourhood
         while low and not text[low - 1].isspace():
             low -= 1
+        high = _WORD_REST.match(text, high).end()
+        while more := _MORE_LABELS.match(text, high):
+            high = more.end()
         for rx in _EMAIL:
             for m in rx.finditer(text, low, high):
                 out[m.span()] = Found("email", m.start(), m.end(), 3.0)
@@ -177,35 +184,47 @@ def weights731(code: str) -> bool:
     return sum(int(ch, 36) * (7, 3, 1)[i % 3] for i, ch in enumerate(code[:-1])) % 10 == int(code[-1])
 
 
-_ANY = lambda _: False
+_NONE = None
+#: Base score, form, checksum, and whether a wrong checksum rejects.  Five forms have no checksum at all (social
+#: insurance numbers of two countries, passports, other document numbers); of three (Spanish numbers, machine-readable document numbers, tax
+#: numbers) a wrong one only gives no point, since the documents here hold made-up numbers of them.
 _IDS = [
-    (1.5, re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ANY),
-    (1.5, re.compile(r"(?<![\w.-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])", re.I), _ANY),
-    (1.5, re.compile(r"(?<![\w.-])[XYZ]-?\d{7}-?[A-Z](?![\w-])", re.I), spanish),
-    (1.5, re.compile(r"(?<![\w.-])\d{8}[- ]?[A-Z](?![\w-])", re.I), spanish),
-    (1.0, re.compile(r"(?<![\w.-])[A-Z]{2}\d{6,7}(?![\w-])", re.I), _ANY),
-    (1.0, re.compile(r"(?<![\w.-])[CFGHJKLMNPRTVWXYZ](?=(?:[A-Z]*\d){3})[0-9A-Z]{8}(?![\w-])", re.I), weights731),
-    (1.0, re.compile(r"(?<![\w.-])\d{2} \d{3} \d{3} \d{3}(?![\w-])"), mod11_10),
-    (0.5, re.compile(r"(?<![\w.-])\d{11}(?![\w-])"), mod11_10),
-    (1.5, re.compile(r"(?<![\w.-])[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-])"), nir),
-    (1.0, re.compile(r"(?<![\w.-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), mod97),
-    (0.5, re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\w-])"), luhn),
-    (0.5, re.compile(r"(?<![\w.-])(?:[A-Z]\d{8}|\d{9})(?![\w-])", re.I), _ANY),
+    (1.5, re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"), _NONE, False),
+    (1.5, re.compile(r"(?<![\w.-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])", re.I), _NONE, False),
+    (1.5, re.compile(r"(?<![\w.-])[XYZ]-?\d{7}-?[A-Z](?![\w-])", re.I), spanish, False),
+    (1.5, re.compile(r"(?<![\w.-])\d{8}[- ]?[A-Z](?![\w-])", re.I), spanish, False),
+    (1.0, re.compile(r"(?<![\w.-])[A-Z]{2}\d{6,7}(?![\w-])", re.I), _NONE, False),
+    (1.0, re.compile(r"(?<![\w.-])[CFGHJKLMNPRTVWXYZ](?=(?:[A-Z]*\d){3})[0-9A-Z]{8}(?![\w-])", re.I), weights731, False),
+    (1.0, re.compile(r"(?<![\w.-])\d{2} \d{3} \d{3} \d{3}(?![\w-])"), mod11_10, False),
+    (0.5, re.compile(r"(?<![\w.-])\d{11}(?![\w-])"), mod11_10, True),
+    (1.5, re.compile(r"(?<![\w.-])[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w-])"), nir, True),
+    (1.0, re.compile(r"(?<![\w.-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), mod97, True),
+    (0.5, re.compile(r"(?<![\w.-])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\w-])"), luhn, True),
+    (0.5, re.compile(r"(?<![\w.-])(?:[A-Z]\d{8}|\d{9})(?![\w-])", re.I), _NONE, False),
 ]
 
 
+_CLAUSE_START = re.compile(r"[.!?]\s|\n")
+
+
+def checked(valid, shown: str) -> bool:
+    """Whether the checksum of a number holds, as written with spaces and hyphens."""
+    try:
+        return valid(re.sub(r"[\s-]", "", shown).upper())
+    except (ValueError, IndexError):
+        return False
+
+
 def id_numbers(text: str, starts: list[int]) -> list[Found]:
     """Numbers of identity documents, tax and social insurance: form, checksum and nearby words."""
     out = []
-    for (base, _, valid), m in _matches(text, starts, _IDS, 3):
+    for (base, _, valid, strict), m in _matches(text, starts, _IDS, 3):
+        sound = valid is not None and checked(valid, m.group())
+        if strict and not sound:
+            continue
         before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 25]
-        before = re.split(r"[.!?]\s|\n", before)[-1]
-        code = re.sub(r"[\s-]", "", m.group()).upper()
-        score = base
-        try:
-            score += 1.0 if valid(code) else 0.0
-        except (ValueError, IndexError):
-            pass
+        before = _CLAUSE_START.split(before)[-1]
+        score = base + (1.0 if sound else 0.0)
         if _ID_NEAR.search(before) or re.search(r"\b(?:ID|id)[ :#]*$", before):
             score += 2.0
         elif _ID_NEAR.search(after):
@@ -333,6 +352,53 @@ def _hits(text: str, seeds: Seeds):
         yield last + 1, payload
 
 
+_IS_PARTICLE = re.compile(PARTICLES, re.I)
+_IS_INITIAL = re.compile(_INI)
+_IS_TITLE = re.compile(rf"{TITLES}\.?", re.I)
+_TITLE_BEFORE = re.compile(rf"\b{TITLES}\.? $", re.I)
+_TITLES_BEFORE = re.compile(rf"(?:\b{TITLES}\.?\s+)+$", re.I)
+_PARTICLE_IN = re.compile(rf" {PARTICLES} ", re.I)
+_INITIAL_IN = re.compile(rf"(?:^| ){_INI} ")
+_MIDDLE_INITIAL = re.compile(rf"{_L}{{2,}} {_INI} ")
+_NEXT_WORD = re.compile(rf"\s+({_L}+)")
+_FIRST_WORD = re.compile(rf"{_L}+(?![.'’-])")
+_ON_LINE = re.compile(r"[ \t]*(?:\n|$)")
+_NEXT_LINE = re.compile(r"[ \t]*\n+[ \t]*(?:[-*•>]\s*)?(?:[AQ]:\s*)?")
+_TOLD, _COMMA, _HASH = re.compile(r"\s*told\b"), re.compile(r",\s"), re.compile(r"#\s*$")
+
+
+_OPENS = re.compile(r"^$|[.!?:]\s+$|\n\s*$")
+
+
+def _whole_name(text: str, start: int, cased: bool, given: frozenset[str]) -> int:
+    """Where a name that a phrase ends begins: further given and family names and particles before it.
+
+    Words are taken back to the first that cannot be part of a name; of them the earliest known given name
+    begins the name; of capitalized ones the first if they are several; in lower case the first if it begins a
+    sentence, whose subject they then are.
+    """
+    at, taken = start, []
+    while at and text[at - 1] == " ":
+        begin = at - 1
+        while begin and (text[begin - 1].isalpha() or text[begin - 1] in "'’-"):
+            begin -= 1
+        word = text[begin : at - 1]
+        low = word.lower()
+        if len(word) < 2 or begin and not text[begin - 1].isspace() or low in PRODUCTS or _IS_TITLE.fullmatch(word):
+            break
+        if not _IS_PARTICLE.fullmatch(word) and (low in STOP or cased and not word[0].isupper()):
+            break
+        taken.append((begin, low, bool(_IS_PARTICLE.fullmatch(word))))
+        at = begin
+    while taken and taken[-1][2]:
+        taken.pop()
+    known = [b for b, low, _ in taken if low in given]
+    if known:
+        return known[-1]
+    opens = bool(taken) and _OPENS.search(text[max(0, taken[-1][0] - 3) : taken[-1][0]]) is not None
+    return taken[-1][0] if (sum(not p for _, _, p in taken) > 1 if cased else opens) else start
+
+
 def names(text: str, seeds: Seeds, marks: list[Found]) -> list[Found]:
     """Given name or initial and family name, any order, without title.
 
@@ -364,8 +430,11 @@ def names(text: str, seeds: Seeds, marks: list[Found]) -> list[Found]:
     at_mark = {f.start for f in marks}
     found = []
     for s in sorted(starts):
+        head = _FIRST_WORD.match(text, s)
+        if head and head.group().lower() in STOP:
+            continue
         t = _TITLE.match(text, s)
-        titled = bool(re.search(rf"\b{TITLES}\.? $", text[max(0, s - 12) : s], re.I))
+        titled = False
         if t and t.end() < len(text):
             s, titled = t.end(), True
         m = _NAME.match(text, s)
@@ -374,49 +443,54 @@ def names(text: str, seeds: Seeds, marks: list[Found]) -> list[Found]:
         start, end = m.start(), m.end()
         value = m.group()
         toks = [w for w in re.split(r"[ ,]+", value) if w]
-        solid = [w for w in toks if not re.fullmatch(PARTICLES, w, re.I) and not re.fullmatch(_INI, w)]
+        solid = [w for w in toks if not _IS_PARTICLE.fullmatch(w) and not _IS_INITIAL.fullmatch(w)]
         if any(w.lower() in STOP or w.lower() in PRODUCTS for w in solid) or not solid:
             continue
-        if re.fullmatch(rf"{TITLES}\.?", toks[0], re.I) and m.group("rev") is None:
+        if m.group("rev") is None and _IS_TITLE.fullmatch(toks[0]):
             continue
+        titled = titled or bool(_TITLE_BEFORE.search(text[max(0, s - 12) : s]))
         cased = all(w[0].isupper() for w in solid)
         before, after = text[max(0, start - 60) : start], text[end : end + 60]
-        lead = re.sub(rf"(?:\b{TITLES}\.?\s+)+$", "", before, flags=re.I)
+        lead = _TITLES_BEFORE.sub("", before)
         first = (toks[-1] if m.group("rev") else toks[0]).lower().strip(".")
         if m.group("rev"):
             first = re.split(r", ?", value)[1].split()[0].lower().strip(".")
         score = 0.0
         known = first in given
         score += 2.0 if known else 0.0
-        left = _LEFT.search(lead)
+        left, right = _LEFT.search(lead), _RIGHT.match(after)
         if left and _AS.search(lead):
-            left = left if re.match(r"\s*told\b", after) else None
-        if left and _DASH.search(lead) and not (cased or known or re.match(r",\s", after)):
+            left = left if _TOLD.match(after) else None
+        if left and _DASH.search(lead) and not (cased or known or _COMMA.match(after)):
             left = None
         score += 3.0 if left else 0.0
         score += 2.0 if titled else 0.0
-        score += 3.0 if _RIGHT.match(after) else 0.0
+        score += 3.0 if right else 0.0
         score += 1.0 if cased else 0.0
-        score += 0.5 if m.group("rev") or "-" in value or re.search(rf" {PARTICLES} ", value, re.I) or re.search(rf"(?:^| ){_INI} ", value) else 0.0
-        lined = bool(_LINE_LEAD.search(lead)) and bool(re.match(r"[ \t]*(?:\n|$)", after))
-        follows = re.match(r"[ \t]*\n+[ \t]*(?:[-*•>]\s*)?(?:[AQ]:\s*)?", after)
+        score += 0.5 if m.group("rev") or "-" in value or _PARTICLE_IN.search(value) or _INITIAL_IN.search(value) else 0.0
+        lined = bool(_LINE_LEAD.search(lead)) and bool(_ON_LINE.match(after))
+        follows = _NEXT_LINE.match(after)
         if lined and follows and end + follows.end() in at_mark:
             score += 2.5
         elif lined and (known or m.group("rev")) and cased:
             score += 1.0
-        nxt = re.match(rf"\s+({_L}+)", after)
+        nxt = _NEXT_WORD.match(after)
         if nxt and nxt.group(1).lower() in PRODUCTS:
             score -= 3.0
         if not left and not titled and _DETERMINER.search(lead):
             score -= 3.0
-        if re.search(r"#\s*$", before):
+        if _HASH.search(before):
             score -= 3.0
-        if not cased and not (left or titled or _RIGHT.match(after) or (lined and follows)):
+        if not cased and not (left or titled or right or (lined and follows)):
             score -= 2.0
         if score >= 3.0:
             # in lower case a word before an initial may belong to the sentence before
-            if not cased and not known and not left and not titled and re.match(rf"{_L}{{2,}} {_INI} ", value):
+            if not cased and not known and not left and not titled and _MIDDLE_INITIAL.match(value):
                 score -= 0.75
+            if right and not left and not titled and m.group("rev") is None:
+                longer = _whole_name(text, start, cased, given)
+                score += 0.25 if longer < start else 0.0
+                start = longer
             found.append(Found("name", start, end, score))
     return found
 

@@ -409,6 +409,21 @@ def test_details():
     assert details(None, seeds) == [] and details("", seeds) == [] and redact(None, []) is None
 
 
+def test_whole_names_long_addresses_and_strict_checksums():
+    seeds = Seeds(frozenset({"maren"}))
+    found = lambda text: {(f.kind, text[f.start : f.end]) for f in details(text, seeds)}
+    assert found("Ana Maria Luz Pilar Isabel Carmen Garcia lives at home.") == {("name", "Ana Maria Luz Pilar Isabel Carmen Garcia")}
+    assert found("We met. maria de la luz garcia fernandez lopez lives at home.") == {("name", "maria de la luz garcia fernandez lopez")}
+    assert found("Then Tuesday Maren Luz van Dorick told me so.") == {("name", "Maren Luz van Dorick")} and found("As Lena Dorick told me so.") == {("name", "Lena Dorick")}
+    domain = ".".join(ch * 61 for ch in "abcd") + ".info"
+    assert len(domain) == 252 and found(f"mail x.y@{domain} now") == {("email", f"x.y@{domain}")}
+    spelled = "x at " + "averyverylonglabel dot " * 20 + "org"
+    assert found(f"write {spelled}, please") == {("email", spelled)}
+    # account, card and social insurance numbers need their checksum; numbers without one need a word beside them
+    assert found("passport GB82 WEST 1234 5698 7654 31") == set() and found("ID 4111 1111 1111 1112") == set() and found("ID 4111 1111 1111 1111") == {("id_number", "4111 1111 1111 1111")}
+    assert found("tax id GB82 WEST 1234 5698 7654 32") == {("id_number", "GB82 WEST 1234 5698 7654 32")} and found("build 123-45-6789") == set()
+
+
 def test_personal_details_table(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.example " + "filler words here " * 30000, 7), (2, None, 7), (3, "", 7), (None, "x@y.example", 7), (4, "same@y.example same@y.example", 7)], "doc_id int, text string, found int")
     out = {r.doc_id: r for r in personal_details(docs, "doc_id", "text").collect()}
