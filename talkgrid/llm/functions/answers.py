@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from difflib import SequenceMatcher
 
 from talkgrid.functions.text import plain, same_word, words
+from talkgrid.llm.functions.languages import Languages
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -14,7 +16,14 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas y o pero de del al en con por para como es son fue fueron se que qué no su sus lo le les este esta estos estas ese esa cómo cuál quién cuándo dónde porque según después antes muy más ya todo cada entre sin a menudo solo",
     "fr": "le la les un une des et ou mais de du au aux en dans avec par pour comme est sont était étaient se que qui quoi ne pas son sa ses leur leurs ce cet cette ces il elle ils elles nous vous je on parce selon après avant très plus tout tous chaque entre sans comment pourquoi quand où y a été sur souvent",
 }
-_FUNCTION = {lang: frozenset(v.split()) for lang, v in FUNCTION_WORDS.items()}
+#: Frequent function words of further languages, which have no training texts here.
+FURTHER_WORDS = {
+    "it": "il lo gli della delle degli dei nel nella che è sono era erano perché anche più questo questa questi queste non si mi ma quando dove chi di da dal dalla alla al ogni tra senza",
+    "nl": "het een van en niet met voor zijn wordt worden werd deze dit dat ook omdat maar naar bij aan hij zij wij waarom hoe wat waar wanneer niet meer ze geen",
+    "pt": "os uma não são foi foram porque também isso esta este estas estes dos das nos nas pelo pela mais quando onde quem ele ela eles elas cada sem entre",
+}
+_MAIN = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
+_FUNCTION = {lang: frozenset(v.split()) for lang, v in FUNCTION_WORDS.items()} | {lang: frozenset(v.split()) - _MAIN for lang, v in FURTHER_WORDS.items()}
 #: Letters that speak for a language.
 LETTERS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "àâçêëîïôœùû"}
 #: Words that no complete sentence ends with.
@@ -25,6 +34,7 @@ DANGLING = frozenset(
 )
 #: Texts that stand for nothing.
 PLACEHOLDERS = frozenset("na|n a|none|null|nil|nan|no answer|answer|empty|tbd|todo|unknown answer|not available|keine antwort|sin respuesta|ninguna|keine|antwort|respuesta|réponse|blank".split("|"))
+_PLACEHOLDER_WORDS = frozenset(w for p in PLACEHOLDERS for w in p.split())
 #: How answers decline.
 REFUSALS = [
     r"\bi (?:am|'m) (?:sorry|unable|not able|afraid)\b|\bi'?m sorry\b|^sorry\b|\bapologi[sz]e\b",
@@ -36,6 +46,7 @@ REFUSALS = [
     r"\bas an? (?:ai|language model|assistant)\b|\boutside (?:of )?what i\b|\bcan'?t be answered\b|\bcannot be answered\b",
     r"\b(?:leider|kann ich|können wir)\b.*\b(?:nichts|nicht|keine)\b|\bkeine (?:antwort|angaben|information)|\bweiß ich (?:leider )?nicht\b|\bich weiß (?:es )?nicht\b",
     r"\blo siento\b|\bno (?:puedo|podemos|sé|se puede|tengo|dispongo)\b|\bno hay (?:información|datos)\b",
+    r"\bmi dispiace\b|\bnon (?:posso|possiamo|so|è possibile)\b|\bhelaas\b|\bik (?:weet|kan) (?:het )?niet\b|\bnão (?:posso|sei|é possível)\b",
     r"\bdésolée?\b|\bje ne (?:peux|sais|suis)\b|\bimpossible de répondre\b|\baucune (?:information|réponse)\b",
 ]
 _REFUSAL = [re.compile(p) for p in REFUSALS]
@@ -92,17 +103,17 @@ def script_hint(text: str) -> str | None:
 
 
 def repeats(question: list[str], answer: list[str]) -> bool:
-    """Whether the answer holds the question's words and next to nothing else."""
+    """Whether the answer holds the question's words, once or again, and next to nothing else."""
     if len(question) < 3 or not answer:
         return False
     rest = list(question)
     extra = 0
     for w in answer:
         hit = w if w in rest else next((v for v in rest if same_word(w, v)), None)
-        if hit is None:
-            extra += 1
-        else:
+        if hit is not None:
             rest.remove(hit)
+        elif w not in question:
+            extra += 1
     return len(rest) <= 0.2 * len(question) and extra <= max(1, 0.25 * len(answer))
 
 
@@ -153,17 +164,22 @@ def dangling_end(text: str) -> bool:
     return last[-1] in DANGLING
 
 
-#: Order of the votes of ``signals``: (defect, labelling function, what it votes for).
+def in_order(question: list[str], answer: list[str]) -> bool:
+    """Whether the words of the question make up the answer in their order."""
+    return len(question) > 2 and bool(answer) and SequenceMatcher(None, question, answer, autojunk=False).ratio() >= 0.75
+
+
+#: Order of the votes of ``signals``: (defect, labelling function, what it votes for).  No function is the negation of another.
 VOTES = [
     ("empty", "no_letters", 1), ("empty", "placeholder", 1), ("empty", "has_words", 0),
     ("truncated", "unbalanced", 1), ("truncated", "open_tail", 1), ("truncated", "dangling", 1), ("truncated", "unclosed_json", 1), ("truncated", "ends_well", 0),
-    ("refusal", "declines", 1), ("refusal", "only_declines", 1), ("refusal", "flag", 1), ("refusal", "says_more", 0),
-    ("copy", "repeats", 1), ("copy", "asks", 1), ("copy", "own_words", 0),
-    ("language", "function_words", 1), ("language", "letters", 1), ("language", "same_language", 0),
+    ("refusal", "declines", 1), ("refusal", "flag", 1), ("refusal", "says_more", 0),
+    ("copy", "repeats", 1), ("copy", "in_order", 1), ("copy", "asks", 1),
+    ("language", "function_words", 1), ("language", "letters", 1), ("language", "letter_groups", 1), ("language", "unlike", 1), ("language", "same_language", 0),
 ]
 
 
-def signals(question: str | None, answer: str | None, abstain: bool | None, parse_ok: bool | None, raw: str | None) -> list[bool]:
+def signals(question: str | None, answer: str | None, abstain: bool | None, parse_ok: bool | None, raw: str | None, languages: Languages | None = None) -> list[bool]:
     """Which labelling functions fire, in the order of ``VOTES``."""
     text, broken = answer, False
     if parse_ok is False:
@@ -180,29 +196,32 @@ def signals(question: str | None, answer: str | None, abstain: bool | None, pars
     tokens, asked = words(core), words(question)
     label_free = words(_LABEL.sub("", bare))
     same = repeats(asked, label_free)
-    asks = bool(label_free) and len(label_free) > 3 and (bare.rstrip(" \"'”*_").endswith("?") or same)
 
     sentences = [s for s in _SENTENCE.split(plain(core).strip()) if s]
     declining = [any(p.search(s) for p in _REFUSAL) for s in sentences]
     # what follows a "but" is said nevertheless, unless it declines as well
     after = [_BUT.split(s)[-1] if _BUT.search(s) else "" for s in sentences]
     heads = [d and (len(t.split()) <= 4 or any(p.search(t) for p in _REFUSAL)) for d, t in zip(declining, after)]
-    said = sum(len(s.split()) for s, h in zip(sentences, heads) if not h)
+    said = [len(s.split()) for s, h in zip(sentences, heads) if not h]
+    says_more = sum(said) > 10 or any(n > 8 for n in said)
     declines = bool(heads) and heads[0]
-    only = declines and said <= 10 and not any(len(s.split()) > 8 for s, h in zip(sentences, heads) if not h)
+    only = declines and not says_more
 
     lang_q, lang_a = language(asked), language(tokens)
     hint = script_hint(core)
     differs = lang_q is not None and lang_a is not None and lang_a != lang_q
     hinted = lang_q is not None and hint is not None and hint != lang_q and lang_a in (None, hint)
-
+    grouped = unlike = False
     usable = not nothing and not same
+    if languages is not None and usable and not only and question:
+        grouped, unlike = languages.differs(languages.best(question), core), languages.unlike(core)
+
     loose, tail, dangle = usable and unbalanced(seen), usable and open_tail(core), usable and dangling_end(core)
     ends_well = bool(_TERMINAL.search(core)) and not loose and not dangle
     return [
-        no_letters, placeholder, len(label_free) >= 2 and not placeholder,
+        no_letters, placeholder, sum(w not in _PLACEHOLDER_WORDS for w in label_free) > 1,
         loose, tail and not only, dangle, broken and usable, ends_well and not broken,
-        declines and not nothing, only and not nothing, bool(abstain) and only and not nothing, said > 10 or not declines,
-        same and not nothing, same and asks and not nothing, not same,
-        usable and differs and not only, usable and hinted and not only, lang_q is not None and lang_a == lang_q,
+        declines and not nothing, bool(abstain) and not nothing and not says_more, says_more,
+        same and not nothing, not nothing and in_order(asked, label_free), len(label_free) > 3 and bare.rstrip(" \"'”*_").endswith("?"),
+        usable and differs and not only, usable and hinted and not only, grouped, unlike, lang_q is not None and lang_a == lang_q,
     ]

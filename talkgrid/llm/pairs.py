@@ -1,4 +1,4 @@
-"""Broken prompt and response pairs (problem 4): labelling functions and a label model."""
+"""Broken prompt and response pairs (problem 4): labelling functions and a label model a defect."""
 
 from __future__ import annotations
 
@@ -9,55 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkgrid.llm.functions.answers import VOTES, signals
+from talkgrid.llm.functions.labels import CUTOFFS, DEFECTS, label_model
+from talkgrid.llm.functions.languages import Languages
 from talkgrid.session import checkpointed
 
-DEFECTS = list(dict.fromkeys(d for d, _, _ in VOTES))
-#: Posterior from which a defect is kept, validated on spoiled copies of sound answers (tests/llm).
-CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copy": 0.5, "language": 0.5}
-_ROUNDS = 50
+#: Labelled texts on which the letter groups of the languages are trained, at most (of the least id hash).
+LANGUAGE_TEXTS = 3000
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _signals(question: pd.Series, answer: pd.Series, abstain: pd.Series, parse_ok: pd.Series, raw: pd.Series) -> pd.Series:
-    flag = lambda v: None if v is None or v != v else bool(v)
-    return pd.Series([signals(q, a, flag(b), flag(p), r) for q, a, b, p, r in zip(question, answer, abstain, parse_ok, raw)])
+def trained_languages(texts: DataFrame, id_col: str, lang_col: str, text_col: str, rows: int = LANGUAGE_TEXTS) -> Languages | None:
+    """Letter groups of the languages of labelled texts, from at most ``rows`` of them (one job).
 
+    A label is read up to its region (``en-US`` is ``en``); null and undetermined ones take no part.
+    """
+    lang = F.lower(F.split(F.trim(F.col(f"`{lang_col}`")), "[-_]")[0])
+    marked = texts.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND lang NOT IN ('und', '') AND text IS NOT NULL")
+    return Languages.fit([(r.lang, r.text) for r in marked.orderBy("h", "text").limit(rows).collect()])
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, votes: list[int]) -> np.ndarray:
-    """Posterior of the defect for each pattern of votes, by expectation-maximization.
 
-    A labelling function either fires or not; given the truth, functions are independent.  Fire rates
-    and the share of defects are re-estimated from the posteriors, weighted by the patterns' counts,
-    under weak priors: a function that votes for the defect fires on most defects and on few sound
-    rows, one that votes against it the other way round.
-    """
-    fires, n = patterns.astype(float), counts.astype(float)
-    pro = np.array(votes) == 1
-    # prior counts (fired, not fired) on defects and on sound rows
-    on_a, on_b = np.where(pro, 6.0, 1.0), np.where(pro, 4.0, 20.0)
-    off_a, off_b = np.where(pro, 1.0, 14.0), np.where(pro, 200.0, 6.0)
-    share, on, off = 0.05, on_a / (on_a + on_b), off_a / (off_a + off_b)
-    post = np.zeros(len(n))
-    for _ in range(_ROUNDS):
-        log_on = fires @ np.log(on) + (1 - fires) @ np.log(1 - on) + np.log(share)
-        log_off = fires @ np.log(off) + (1 - fires) @ np.log(1 - off) + np.log(1 - share)
-        new = 1 / (1 + np.exp(np.clip(log_off - log_on, -700, 700)))
-        w = n * new
-        on = (w @ fires + on_a) / (w.sum() + on_a + on_b)
-        off = ((n - w) @ fires + off_a) / ((n - w).sum() + off_a + off_b)
-        share = (w.sum() + 1) / (n.sum() + 20)
-        if np.abs(new - post).max() < 1e-9:
-            break
-        post = new
-    return new
+def _signals(languages: Languages | None):
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def run(question: pd.Series, answer: pd.Series, abstain: pd.Series, parse_ok: pd.Series, raw: pd.Series) -> pd.Series:
+        flag = lambda v: None if v is None or v != v else bool(v)
+        return pd.Series([signals(q, a, flag(b), flag(p), r, languages) for q, a, b, p, r in zip(question, answer, abstain, parse_ok, raw)])
+
+    return run
 
 
-def defective_pairs(pairs: DataFrame, keys: list[str], question: str, answer: str, abstain: str, parse_ok: str, raw: str, cutoffs: dict[str, float] | None = None) -> DataFrame:
+def defective_pairs(pairs: DataFrame, keys: list[str], question: str, answer: str, abstain: str, parse_ok: str, raw: str, cutoffs: dict[str, float] | None = None, languages: Languages | None = None) -> DataFrame:
     """Every pair with each defect whose posterior reaches its cutoff: keys, defect, posterior.
 
     Defects: empty, truncated, refusal, copy (of the question), language (other than the question's).
     Where ``parse_ok`` is false the answer is taken from the raw response.  Each defect has its own
-    labelling functions; only the counts of their firing patterns (at most 2^5 a defect, whatever the
+    labelling functions, among them, for the language, the letter groups of ``languages``; only the counts of their firing patterns (at most 2^5 a defect, whatever the
     number of rows) reach the driver, where the label model is fitted over all rows; the
     posteriors return as a lookup in the plan.  A pair may carry several defects.
 
@@ -67,7 +51,7 @@ def defective_pairs(pairs: DataFrame, keys: list[str], question: str, answer: st
     """
     cut = CUTOFFS | (cutoffs or {})
     col = lambda c: F.col(f"`{c}`")
-    fired = pairs.select(*[col(k) for k in keys], _signals(col(question), col(answer), col(abstain), col(parse_ok), col(raw)).alias("__f"))
+    fired = pairs.select(*[col(k) for k in keys], _signals(languages)(col(question), col(answer), col(abstain), col(parse_ok), col(raw)).alias("__f"))
     parts, labelled = {}, fired
     for d in DEFECTS:
         at = [i for i, v in enumerate(VOTES) if v[0] == d]

@@ -10,7 +10,7 @@ from talkgrid.llm.leakage import leaked_passages
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm.overlap import Overlaps, cross_split_overlaps
-from talkgrid.llm.pairs import defective_pairs
+from talkgrid.llm.pairs import defective_pairs, trained_languages
 from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.llm.similar import nearest_vectors
@@ -214,7 +214,7 @@ def _defects(spark, directory) -> DataFrame:
     answers = once(table(spark, directory, "per_example").select("run_id", "example_id", "answer", "abstain", "parse_ok", "raw_response"), ["run_id", "example_id"])
     gold = once(table(spark, directory, "dev_gold").select("id", "question", "question_type"), ["id"])
     asked = gold.filter(F.coalesce(F.col("question_type"), F.lit("")) != "negative").select(F.col("id").alias("example_id"), "question")
-    return defective_pairs(answers.join(asked, "example_id"), ["run_id", "example_id"], "question", "answer", "abstain", "parse_ok", "raw_response")
+    return defective_pairs(answers.join(asked, "example_id"), ["run_id", "example_id"], "question", "answer", "abstain", "parse_ok", "raw_response", languages=trained_languages(table(spark, directory, "documents"), "doc_id", "lang", "text"))
 
 
 @R.query()

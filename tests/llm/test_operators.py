@@ -16,7 +16,8 @@ from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm import overlap
 from talkgrid.llm.functions.sameness import contained
 from talkgrid.llm.overlap import cross_split_overlaps
-from talkgrid.llm.pairs import defective_pairs, label_model
+from talkgrid.llm.functions.labels import label_model
+from talkgrid.llm.pairs import defective_pairs
 from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.llm.similar import nearest_vectors
@@ -149,8 +150,9 @@ def fired(*args):
 def test_signals():
     q = "What does the talk say about the caching policy?"
     assert "no_letters" in fired(q, " ​- ", None, True, None) and "placeholder" in fired(q, "**N/A**", None, True, None)
-    assert "only_declines" in fired(q, "I'm sorry, but I can't answer that from the clips provided. Try rephrasing it.", None, True, None)
-    assert "only_declines" not in fired(q, "I can't be sure of the exact figure, but the speaker puts it near 3 rows. It keeps its cache small.", None, True, None)
+    declined = fired(q, "I'm sorry, but I can't answer that from the clips provided. Try rephrasing it.", None, True, None)
+    assert "declines" in declined and "says_more" not in declined
+    assert "says_more" in fired(q, "I can't be sure of the exact figure, but the speaker puts it near 3 rows. It keeps its cache small.", None, True, None)
     assert "repeats" in fired(q, "Question: what does the talk say about the caching policy", None, True, None)
     assert "function_words" in fired(q, "Der Sprecher sagt, dass die Daten nicht mehr in den Speicher passen.", None, True, None)
     assert fired(None, None, None, None, None) >= {"no_letters"}
