@@ -20,18 +20,20 @@ def token_spans(text: str) -> list[tuple[int, int]]:
 
 
 def boundary_strength(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """For a cut before token i: 3 after a blank line, 2 after a sentence, 1 at a line break, 0 elsewhere."""
+    """For a cut before token i: 4 after a blank line, 3 after a sentence, 2 at a line break, 1 after a clause, 0 elsewhere."""
     out = np.zeros(len(spans) + 1, np.int8)
     for i in range(1, len(spans)):
         a, b = spans[i - 1], spans[i]
         lines = text.count("\n", a[1], b[0])
         if lines > 1:
-            out[i] = 3
+            out[i] = 4
         elif _ENDS.search(text, a[0], a[1]):
-            out[i] = 2
+            out[i] = 3
         elif lines:
+            out[i] = 2
+        elif _CLAUSE.search(text, a[0], a[1]):
             out[i] = 1
-    out[0] = out[len(spans)] = 3
+    out[0] = out[len(spans)] = 4
     return out
 
 
@@ -49,7 +51,12 @@ def landmarks(text: str, spans: list[tuple[int, int]], every: int) -> np.ndarray
 
 
 def cut_points(text: str, spans: list[tuple[int, int]], limit: int, overlap: int) -> list[int]:
-    """Tokens before which the text is cut, so that every piece with its overlap holds at most ``limit``."""
+    """Tokens before which the text is cut, so that every piece with its overlap holds at most ``limit``.
+
+    A cut lies between a quarter of the room and the whole of it, at the strongest boundary there is in
+    this reach; of several as strong at the one nearest to the landmark.  Where there is no boundary the
+    landmark itself cuts, and without one the room's end.
+    """
     n = len(spans)
     if n <= limit:
         return []
@@ -57,8 +64,8 @@ def cut_points(text: str, spans: list[tuple[int, int]], limit: int, overlap: int
     first_max, step = limit, limit - overlap
     least = max(1, step // 4)
     marks = landmarks(text, spans, max(1, step // 3))
-    mark_at, cut_at = np.flatnonzero(marks), np.flatnonzero(strength >= 2)
-    line_at = np.flatnonzero(strength >= 1)
+    mark_at = np.flatnonzero(marks)
+    levels = [np.flatnonzero(strength == level) for level in (4, 3, 2, 1)]
     cuts, start = [], 0
     while True:
         most = start + (first_max if start == 0 else step)
@@ -68,7 +75,7 @@ def cut_points(text: str, spans: list[tuple[int, int]], limit: int, overlap: int
         k = np.searchsorted(mark_at, low)
         mark = int(mark_at[k]) if k < len(mark_at) and mark_at[k] <= most else None
         cut = None
-        for places in (cut_at, line_at):
+        for places in levels:
             a, b = np.searchsorted(places, low), np.searchsorted(places, most, "right")
             if a < b:
                 near = places[a:b]

@@ -14,7 +14,7 @@ from talkgrid.llm.pairs import defective_pairs, trained_languages
 from talkgrid.llm.pii import personal_details
 from talkgrid.llm.ranking import net_flow, top_items
 from talkgrid.llm.similar import nearest_vectors
-from talkgrid.llm.splitting import split_oversized
+from talkgrid.llm.splitting import count_tokens, split_oversized
 from talkgrid.operators.intervals import valid_span
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, table
@@ -137,6 +137,22 @@ def _leaks(spark, directory) -> DataFrame:
     return leaked_passages(table(spark, directory, "documents"), table(spark, directory, "held_out_items"), "doc_id", "text", "item_id", "text")
 
 
+@R.query(f"SELECT DISTINCT chunk_id, CAST({_TOKENS_SQL} AS BIGINT) AS tokens, true AS covered, true AS within, true AS overlapping, true AS verbatim FROM chunks JOIN chunk_limits USING (chunking_strategy) WHERE {_TOKENS_SQL} > max_tokens")
+def p6_checks(spark, directory) -> DataFrame:
+    """Of every cut chunk: whether its pieces hold all its tokens once, keep the limit and the overlap, and stand in its text."""
+    limits = table(spark, directory, "chunk_limits").select("chunking_strategy", "max_tokens", "overlap_tokens")
+    texts = table(spark, directory, "chunks").filter("text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("whole"), F.min("chunking_strategy").alias("chunking_strategy"))
+    pieces = _pieces(spark, directory).select("chunk_id", "piece_no", "first_token", F.col("overlap").alias("back"), "tokens", F.col("text").alias("piece"))
+    rows = pieces.join(texts, "chunk_id").join(F.broadcast(limits), "chunking_strategy")
+    return rows.groupBy("chunk_id").agg(
+        F.sum(F.col("tokens") - F.col("back")).cast("bigint").alias("tokens"),
+        (F.sum(F.col("tokens") - F.col("back")) == F.max(count_tokens(F.col("whole")))).alias("covered"),
+        F.bool_and(F.col("tokens") <= F.col("max_tokens")).alias("within"),
+        F.bool_and(F.col("back") == F.least(F.col("first_token"), F.col("overlap_tokens"))).alias("overlapping"),
+        F.bool_and(F.contains("whole", "piece") & (count_tokens(F.col("piece")) == F.col("tokens"))).alias("verbatim"),
+    )
+
+
 def _passage_sql(x: str) -> str:
     """Words of a passage, as :func:`passage_words` reads them."""
     for entity, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
@@ -245,6 +261,19 @@ def p10_redacted(spark, directory) -> DataFrame:
     return _details(spark, directory).select("doc_id", F.col("redacted").alias("text"), F.size("found").alias("details"))
 
 
+@R.query("SELECT DISTINCT doc_id, CAST(length(text) AS BIGINT) AS chars, true AS rest_kept FROM documents WHERE text IS NOT NULL")
+def p10_checks(spark, directory) -> DataFrame:
+    """Of every document: its length, and whether nothing but the details was replaced."""
+    rows = _details(spark, directory).filter("redacted IS NOT NULL").withColumn("values", F.transform("found", lambda f: f["value"]))
+    marks = r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\]"
+    original = table(spark, directory, "documents").select("doc_id", F.col("text").alias("whole")).filter("whole IS NOT NULL").distinct()
+    rest = F.split("redacted", marks)
+    ends = F.startswith(F.col("whole"), rest[0]) & F.endswith(F.col("whole"), F.element_at(rest, -1))
+    held = F.forall(rest, lambda part: F.contains(F.col("whole"), part))
+    gone = F.length(F.array_join("values", "")) + F.length(F.array_join(rest, ""))
+    return original.join(rows, "doc_id").select("doc_id", F.length("whole").cast("bigint").alias("chars"), (ends & held & (gone == F.length("whole"))).alias("rest_kept")).distinct()
+
+
 def _mix(spark, directory):
     return mix_to_targets(table(spark, directory, "documents"), table(spark, directory, "source_targets"), "doc_id", "text", "source", "target_share", "max_repeats")
 
@@ -261,6 +290,26 @@ def p9_copies(spark, directory) -> DataFrame:
     return _mix(spark, directory).documents
 
 
+@R.query(
+    """WITH t AS (SELECT source, target_share, max_repeats FROM source_targets WHERE source IS NOT NULL),
+d AS (SELECT source, count(DISTINCT text) AS texts FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY source)
+SELECT t.source, coalesce(texts, 0) AS texts, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS repeated_twice, true AS near_target FROM t LEFT JOIN d USING (source)"""
+)
+def p9_checks(spark, directory) -> DataFrame:
+    """Of every target source: its texts, those taken more often than allowed, and whether its share is near the planned one."""
+    docs = table(spark, directory, "documents").filter("text IS NOT NULL AND text <> ''").select("doc_id", "source", F.xxhash64("text").alias("h"))
+    goal = table(spark, directory, "source_targets").select("source", "max_repeats")
+    mix = _mix(spark, directory)
+    taken = docs.join(mix.documents, "doc_id")
+    per = taken.groupBy("h").agg(F.sum("copies").alias("copies"), F.count(F.when(F.col("copies") > 0, 1)).alias("ids"))
+    facts = taken.select("source", "h").distinct().join(per, "h").join(F.broadcast(goal), "source").groupBy("source").agg(
+        F.count("*").alias("texts"), F.count(F.when((F.col("copies") > F.col("max_repeats")) & (F.col("ids") == 1), 1)).alias("over"), F.count(F.when(F.col("ids") > 1, 1)).alias("twice")
+    )
+    near = mix.report.select("source", (F.abs(F.col("reached_share") - F.col("planned_share")) < 0.05).alias("near_target"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return near.join(facts, "source", "left").select("source", zero("texts", "texts"), zero("over", "over_cap"), zero("twice", "repeated_twice"), "near_target")
+
+
 def queries() -> dict:
     """Name -> callable."""
     return dict(R.queries)

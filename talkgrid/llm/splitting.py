@@ -28,7 +28,7 @@ def split_oversized(items: DataFrame, limits: DataFrame, item_id: str, kind: str
     """Pieces of every item whose text holds more tokens than the limit of its kind allows.
 
     Cuts follow the content: a rolling hash over the words marks landmarks, the first landmark behind
-    a quarter of the room snaps to the nearest end of a sentence or paragraph (else line) within
+    a quarter of the room snaps to the nearest end of a paragraph (else sentence, line, clause) within
     minimum and maximum size, so an edit alters neighbouring pieces only.  Without a landmark the last
     boundary that fits is taken, without any boundary the landmark itself or the limit.  Every piece but
     the first begins with the last ``overlap_tokens`` tokens of the one before; with them it is

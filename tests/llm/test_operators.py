@@ -272,6 +272,14 @@ def test_an_edit_alters_neighbouring_pieces_only():
     assert sum(p.rstrip()[-1] == "." or "\n" in text[text.index(p) + len(p) : text.index(p) + len(p) + 2] for p in with_end) >= 0.95 * len(with_end)
 
 
+def test_the_strongest_boundary_in_reach_cuts():
+    word = lambda n: " ".join(WORDS[:n])
+    ends = lambda text, limit: [p[3].rstrip()[-1] for p in split_text(text, limit, 0)][:-1]
+    assert [p[3] for p in split_text(f"{word(6)}. {word(6)}\n\n{word(6)}. {word(9)}", 20, 0)][0].endswith(WORDS[5])  # the paragraph, not the sentence
+    assert ends(f"{word(9)}, {word(9)}, {word(9)}, {word(9)}", 12) == [",", ",", ","]  # clauses where nothing stronger is
+    assert ends(f"{word(9)}. {word(9)}, {word(9)}. {word(9)}", 24)[0] == "."
+
+
 def test_no_boundaries_and_split_errors():
     assert max(p[2] for p in split_text("x " * 1000, 64, 5)) == 64
     assert split_text("a\tb\nc", 3, 1) == [(0, 0, 3, "a\tb\nc")] and token_spans(" \n\t ") == []
