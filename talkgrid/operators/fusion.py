@@ -69,3 +69,20 @@ def agreement_kappa(pairs: DataFrame, a: str, b: str, labels: list[int], weight:
     observed = counts.agg(F.sum(cost * F.col("n")).alias("o"))
     both = expected.crossJoin(observed)
     return both.select(F.lit(weight).alias("weights"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.round(F.when(F.col("e") == 0, 0.0).otherwise(1 - F.col("o") / F.col("e")), 6).alias("kappa"))
+
+
+def kappa_set(counts: DataFrame, labels: tuple[int, ...] = (1, 2, 3, 4, 5), least: int = 4) -> DataFrame:
+    """Linear and quadratic kappa of counted pairs (x, y, n) and that of both at ``least``, rounded to 3 digits; no pairs give null."""
+    flags = counts.select((F.col("x") >= least).cast("int").alias("x"), (F.col("y") >= least).cast("int").alias("y"), "n")
+    parts = [(counts, len(labels) - 1, "linear"), (counts, len(labels) - 1, "quadratic"), (flags, 1, "binarized")]
+    out = None
+    for rows, span, name in parts:
+        apart = F.abs(F.col("x") - F.col("y")) / F.lit(float(span))
+        cost = apart * apart if name == "quadratic" else apart
+        by_x, by_y, total = rows.groupBy("x").agg(F.sum("n").alias("nx")), rows.groupBy("y").agg(F.sum("n").alias("ny")), rows.agg(F.sum("n").alias("t"))
+        # at most one row a label on either side
+        grid = by_x.crossJoin(F.broadcast(by_y)).crossJoin(F.broadcast(total)).agg(F.sum(cost * F.col("nx") * F.col("ny") / F.col("t")).alias("e"), F.max("t").alias("t"))
+        seen = rows.agg(F.sum(cost * F.col("n")).alias("o"))
+        one = grid.crossJoin(seen).select(F.lit(name).alias("weights"), F.coalesce("t", F.lit(0)).cast("bigint").alias("n"), F.round(F.when(F.col("e") == 0, 0.0).otherwise(1 - F.col("o") / F.col("e")), 3).alias("kappa"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talkgrid.plans import captions, intervals, metrics, retrieval, upkeep
+from talkgrid.plans import captions, intervals, judging, metrics, retrieval, upkeep
 
-MODULES = [intervals, captions, retrieval, metrics, upkeep]
+MODULES = [intervals, captions, retrieval, metrics, judging, upkeep]
 FLAGSHIP = "rrf_fuse"
 
 

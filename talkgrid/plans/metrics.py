@@ -187,7 +187,7 @@ def answer_rates(spark, directory) -> DataFrame:
     + """SELECT run_id, example_id, d IS NOT NULL AS is_json, json_extract_string(d, '$.answer') AS answer, CAST(json_array_length(d, '$.claims') AS INT) AS claims, json_type(d, '$.abstain') = 'BOOLEAN' AS abstain_is_boolean FROM j"""
 )
 def generation_parse(spark, directory) -> DataFrame:
-    """JSN-01..JSN-05: model output read strictly, a field counts only with its declared JSON type."""
+    """JSN-01: model output read strictly, a field counts only with its declared JSON type."""
     a = once(table(spark, directory, "per_example"), ["run_id", "example_id"]).filter("raw_response IS NOT NULL")
     v = F.try_parse_json("raw_response")
     a = a.select("run_id", "example_id", "raw_response", v.alias("v"))
@@ -207,26 +207,12 @@ e AS (SELECT sum(CASE WHEN x <> y THEN rx.n * cy.n / t ELSE 0 END) AS e FROM rx,
 SELECT 'none' AS weights, CAST(t AS BIGINT) AS n, round(CASE WHEN e = 0 THEN 0 ELSE 1 - o / e END, 6) AS kappa FROM e, o, s"""
 )
 def abstain_kappa(spark, directory) -> DataFrame:
-    """AGG-22, AGG-23, JOIN-14, MTH-02: agreement of abstentions with the expected ones."""
+    """AGG-22, JOIN-14: agreement of abstentions with the expected ones."""
     gold = table(spark, directory, "dev_gold").groupBy(F.col("id").alias("example_id")).agg(F.max("abstention_expected").cast("int").alias("x"))
     pairs = once(table(spark, directory, "per_example"), ["run_id", "example_id"]).select("example_id", F.col("abstain").cast("int").alias("y")).join(gold, "example_id")
     return fusion.agreement_kappa(pairs, "x", "y", [0, 1], "none")
 
 
-_KAPPA_SQL = """WITH z AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS x, CAST(o_orderkey % 5 + 1 AS INT) AS y FROM orders),
-c AS (SELECT x, y, count(*) AS n FROM z GROUP BY ALL), rx AS (SELECT x, sum(n) AS n FROM c GROUP BY x), cy AS (SELECT y, sum(n) AS n FROM c GROUP BY y), s AS (SELECT sum(n) AS t FROM c),
-e AS (SELECT sum({w} * rx.n * cy.n / t) AS e FROM rx, cy, s), o AS (SELECT sum({w} * n) AS o FROM c)
-SELECT '{name}' AS weights, CAST(t AS BIGINT) AS n, round(CASE WHEN e = 0 THEN 0 ELSE 1 - o / e END, 6) AS kappa FROM e, o, s"""
-for _name, _w in (("linear", "(abs(x - y) / 4.0)"), ("quadratic", "(abs(x - y) / 4.0 * abs(x - y) / 4.0)")):
-
-    def _kappa(spark, directory, _name=_name) -> DataFrame:
-        """AGG-22: weighted kappa of two ordinal raters."""
-        o = table(spark, directory, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("x"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("y"))
-        return fusion.agreement_kappa(o, "x", "y", [1, 2, 3, 4, 5], _name)
-
-    R.query(_KAPPA_SQL.format(w=_w, name=_name), name=f"kappa_{_name}")(_kappa)
-
-
 @R.query(
     """WITH g AS (SELECT id, any_value(expected_claims) AS claims FROM dev_gold WHERE len(expected_claims) > 0 GROUP BY id),
 p AS (SELECT DISTINCT run_id, example_id, lower(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS a FROM per_example WHERE answer IS NOT NULL)
