@@ -43,14 +43,20 @@ def interval_hits(results: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
-def recall_at(hits: DataFrame, k: int) -> DataFrame:
-    """Per channel: share of queries with an overlap, with a containment in the top ``k``; mean IoU at 1."""
+def recall_at(hits: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """Per channel: share of queries with an overlap, with a containment in the top ``k``; mean IoU at 1.
+
+    The denominator is all ``asked`` queries (query_id; by default those with a hit in any channel), so a query for which
+    a channel returned nothing counts as a miss.
+    """
     per = hits.groupBy("channel", "query_id").agg(
         F.max(F.when(F.col("overlaps") & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias("tr"),
         F.max(F.when(F.col("contains") & (F.col("rank") <= k), 1.0).otherwise(0.0)).alias("held"),
         F.max(F.when(F.col("rank") == 1, F.col("iou")).otherwise(0.0)).alias("iou1"),
     )
-    return per.groupBy("channel").agg(F.count("*").alias("queries"), F.round(F.avg("tr"), 6).alias("recall"), F.round(F.avg("held"), 6).alias("contained"), F.round(F.avg("iou1"), 6).alias("iou_at_1"))
+    total = (hits.select("query_id") if asked is None else asked.select("query_id")).agg(F.countDistinct("query_id").alias("queries"))
+    sums = per.groupBy("channel").agg(F.sum("tr").alias("tr"), F.sum("held").alias("held"), F.sum("iou1").alias("iou1")).crossJoin(F.broadcast(total))
+    return sums.select("channel", "queries", F.round(F.col("tr") / F.col("queries"), 6).alias("recall"), F.round(F.col("held") / F.col("queries"), 6).alias("contained"), F.round(F.col("iou1") / F.col("queries"), 6).alias("iou_at_1"))
 
 
 def agreement_kappa(pairs: DataFrame, a: str, b: str, labels: list[int], weight: str = "none") -> DataFrame:

@@ -40,10 +40,20 @@ def _hits(spark, directory) -> DataFrame:
     return fusion.interval_hits(_results(spark, directory), _gold(spark, directory))
 
 
+def _first_ranks(spark, directory) -> DataFrame:
+    """Rank ``r`` of the first overlap for every asked query and channel, null where a channel has none."""
+    hits = _hits(spark, directory)
+    found = hits.filter("overlaps").groupBy("query_id", "channel").agg(F.min("rank").alias("r"))
+    # the few channels are one row of arrays
+    channels = hits.agg(F.collect_set("channel").alias("cs"))
+    asked = hits.select("query_id").distinct().crossJoin(F.broadcast(channels)).select("query_id", F.explode("cs").alias("channel"))
+    return asked.join(found, ["query_id", "channel"], "left")
+
+
 @R.query(
     f"WITH {_GOLD_SQL}"
     + """, p AS (SELECT channel, query_id, max(CASE WHEN ovl AND rank <= 5 THEN 1.0 ELSE 0.0 END) AS tr, max(CASE WHEN contains AND rank <= 5 THEN 1.0 ELSE 0.0 END) AS held, max(CASE WHEN rank = 1 THEN iou ELSE 0.0 END) AS iou1 FROM h GROUP BY ALL)
-SELECT channel, count(*) AS queries, round(avg(tr), 6) AS recall, round(avg(held), 6) AS contained, round(avg(iou1), 6) AS iou_at_1 FROM p GROUP BY channel"""
+SELECT channel, asked AS queries, round(sum(tr) / asked, 6) AS recall, round(sum(held) / asked, 6) AS contained, round(sum(iou1) / asked, 6) AS iou_at_1 FROM p, (SELECT count(DISTINCT query_id) AS asked FROM h) GROUP BY channel, asked"""
 )
 def channel_recall(spark, directory) -> DataFrame:
     """JOIN-10, AGG-06..09, AGG-12, FLT-07, FLT-09, MTH-01: recall, containment and IoU of each channel."""
@@ -52,26 +62,24 @@ def channel_recall(spark, directory) -> DataFrame:
 
 @R.query(
     f"WITH {_GOLD_SQL}"
-    + """, q AS (SELECT channel, query_id, min(CASE WHEN ovl THEN rank END) AS first_rank FROM h GROUP BY ALL)
+    + """, q AS (SELECT c.channel, a.query_id, min(CASE WHEN ovl THEN rank END) AS first_rank FROM (SELECT DISTINCT channel FROM h) c CROSS JOIN (SELECT DISTINCT query_id FROM h) a LEFT JOIN h USING (channel, query_id) GROUP BY ALL)
 SELECT channel, CASE WHEN first_rank IS NULL THEN 'absent' WHEN first_rank <= 5 THEN '1-5' WHEN first_rank <= 20 THEN '6-20' WHEN first_rank <= 50 THEN '21-50' ELSE '>50' END AS bucket, count(*) AS queries FROM q GROUP BY ALL"""
 )
 def first_gold_rank(spark, directory) -> DataFrame:
     """WIN-04, CLS-03, AGG-24: bucket of the first overlapping rank."""
-    q = _hits(spark, directory).groupBy("channel", "query_id").agg(F.min(F.when(F.col("overlaps"), F.col("rank"))).alias("r"))
     r = F.col("r")
     bucket = F.when(r.isNull(), "absent").when(r <= 5, "1-5").when(r <= 20, "6-20").when(r <= 50, "21-50").otherwise(">50")
-    return q.groupBy("channel", bucket.alias("bucket")).agg(F.count("*").alias("queries"))
+    return _first_ranks(spark, directory).groupBy("channel", bucket.alias("bucket")).agg(F.count("*").alias("queries"))
 
 
 @R.query(
     f"WITH {_GOLD_SQL}"
-    + """, q AS (SELECT channel, query_id, min(CASE WHEN ovl THEN rank END) AS f FROM h GROUP BY ALL)
+    + """, q AS (SELECT c.channel, a.query_id, min(CASE WHEN ovl THEN rank END) AS f FROM (SELECT DISTINCT channel FROM h) c CROSS JOIN (SELECT DISTINCT query_id FROM h) a LEFT JOIN h USING (channel, query_id) GROUP BY ALL)
 SELECT channel, k AS top, round(avg(CASE WHEN f <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM q, (VALUES (5), (10), (20), (200)) t(k) GROUP BY ALL"""
 )
 def recall_curve(spark, directory) -> DataFrame:
     """CMP-14, AGG-35, TOPK-04: recall of each channel at 5, 10, 20 and 200."""
-    q = _hits(spark, directory).groupBy("channel", "query_id").agg(F.min(F.when(F.col("overlaps"), F.col("rank"))).alias("f"))
-    q = q.select("channel", "f", F.explode(F.array(*[F.lit(k) for k in (5, 10, 20, 200)])).alias("top"))
+    q = _first_ranks(spark, directory).select("channel", F.col("r").alias("f"), F.explode(F.array(*[F.lit(k) for k in (5, 10, 20, 200)])).alias("top"))
     return q.groupBy("channel", "top").agg(F.round(F.avg(F.when(F.col("f") <= F.col("top"), 1.0).otherwise(0.0)), 6).alias("recall"))
 
 
@@ -82,8 +90,8 @@ m AS (SELECT *, max(e) OVER (PARTITION BY channel, query_id ORDER BY s, e ROWS B
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY channel, query_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
 p AS (SELECT channel, query_id, k, min(s) AS s, max(e) AS e, min(gs) AS gs, min(ge) AS ge FROM i GROUP BY ALL),
 u AS (SELECT channel, query_id, sum(e - s) AS len, sum(greatest(0, least(e, ge) - greatest(s, gs))) AS common, min(ge - gs) AS g FROM p GROUP BY ALL),
-a AS (SELECT DISTINCT channel, query_id FROM h)
-SELECT channel, round(avg(coalesce(common / (len + g - common), 0)), 6) AS region_iou FROM a LEFT JOIN u USING (channel, query_id) GROUP BY channel"""
+a AS (SELECT count(DISTINCT query_id) AS asked FROM h), ch AS (SELECT DISTINCT channel FROM h)
+SELECT ch.channel, round(coalesce(sum(common / (len + g - common)), 0) / asked, 6) AS region_iou FROM ch LEFT JOIN u USING (channel), a GROUP BY ch.channel, asked"""
 )
 def region_iou(spark, directory) -> DataFrame:
     """AGG-10, AGG-11, WIN-07: IoU of the union of the five first chunks with the gold interval."""
@@ -94,8 +102,9 @@ def region_iou(spark, directory) -> DataFrame:
     parts = coalesce_intervals(keyed, "key", "s", "e").join(gold, F.col("entity") == F.col("key"))
     common = F.greatest(F.lit(0), F.least("e", "ge") - F.greatest("s", "gs"))
     u = parts.groupBy("channel", "query_id").agg(F.sum(F.col("e") - F.col("s")).alias("len"), F.sum(common).alias("common"), F.min(F.col("ge") - F.col("gs")).alias("g"))
-    per = hits.select("channel", "query_id").distinct().join(u, ["channel", "query_id"], "left")
-    return per.groupBy("channel").agg(F.round(F.avg(F.coalesce(F.col("common") / (F.col("len") + F.col("g") - F.col("common")), F.lit(0.0))), 6).alias("region_iou"))
+    sums = u.groupBy("channel").agg(F.sum(F.col("common") / (F.col("len") + F.col("g") - F.col("common"))).alias("s"))
+    per = hits.select("channel").distinct().join(sums, "channel", "left").crossJoin(F.broadcast(hits.agg(F.countDistinct("query_id").alias("asked"))))
+    return per.select("channel", F.round(F.coalesce("s", F.lit(0.0)) / F.col("asked"), 6).alias("region_iou"))
 
 
 @R.query(
@@ -228,14 +237,14 @@ def claim_evidence(spark, directory) -> DataFrame:
 
 
 @R.query(
-    f"WITH {_GOLD_SQL}, top AS (SELECT DISTINCT query_id, chunk_id, video_id, start_sec, end_sec, rank FROM channel_results WHERE channel = 'dense' AND rank IS NOT NULL AND end_sec > start_sec),"
+    f"WITH {_GOLD_SQL}, top AS (SELECT DISTINCT query_id, chunk_id, video_id, start_sec, end_sec, rank FROM channel_results WHERE rank IS NOT NULL AND end_sec > start_sec),"
     + """ x AS (SELECT g.query_id, top.chunk_id, top.rank, greatest(0, least(top.end_sec, g_end) - greatest(top.start_sec, g_start)) / (g_end - g_start) AS ratio FROM g JOIN top ON g.query_id = top.query_id AND g.g_video = top.video_id),
 b AS (SELECT query_id, chunk_id, ratio, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, rank, chunk_id) AS n FROM x)
 SELECT query_id, chunk_id, round(ratio, 6) AS ratio, ratio >= 0.5 AS valid FROM b WHERE n = 1"""
 )
 def cite_best_overlap(spark, directory) -> DataFrame:
     """JOIN-13, FLT-22: for each interval the ranked chunk that covers most of it, first of equals."""
-    top = _results(spark, directory).filter("channel = 'dense'")
+    top = _results(spark, directory)
     gold = _gold(spark, directory)
     pairs = top.join(gold, (top.query_id == gold.query_id) & (top.video_id == gold.g_video)).drop(gold.query_id)
     ratio = F.greatest(F.lit(0.0), F.least("end_sec", "g_end") - F.greatest("start_sec", "g_start")) / (F.col("g_end") - F.col("g_start"))
