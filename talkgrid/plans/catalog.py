@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talkgrid.plans import captions, intervals, judging, metrics, retrieval, stages, upkeep
+from talkgrid.plans import captions, checks, intervals, judging, listing, metrics, retrieval, stages, upkeep
 
-MODULES = [intervals, captions, retrieval, metrics, judging, stages, upkeep]
+MODULES = [intervals, captions, retrieval, metrics, judging, stages, checks, listing, upkeep]
 FLAGSHIP = "rrf_fuse"
 
 
