@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkgrid.functions.columns import clean_lines, clock_seconds, ends_sentence, token_count
+from talkgrid.functions.columns import clean_lines, clock_seconds, ends_sentence, seconds_clock, token_count
 
 WINDOW_SEC, STRIDE_SEC, MAX_TOKENS, SNAP_WORDS = 30, 25, 512, 12
 #: Prefixes of header blocks.
@@ -146,3 +146,26 @@ def caption_quality(cues: DataFrame, durations: DataFrame | None = None) -> Data
     share = F.col("m") / F.greatest(F.col("n"), F.lit(1))
     out = span.join(said, "id")
     return out.select("id", F.round(wpm, 3).alias("words_per_minute"), F.round(share, 6).alias("non_speech"), ((wpm >= 60) & (share < 0.2)).alias("passes"))
+
+
+#: Chunkers by name: cues of :func:`parse_captions` to chunks.
+CHUNKERS = {"fixed_window": lambda cues: fixed_windows(settle_rollup(cues)), "transcript_segment": lambda cues: sentence_sessions(drop_rollup(cues))}
+
+
+def chunker(name: str):
+    """The chunker of a name; the error for an unknown one lists the names."""
+    if name not in CHUNKERS:
+        raise KeyError(f"unknown chunker {name!r}; known are {sorted(CHUNKERS)}")
+    return CHUNKERS[name]
+
+
+def caption_texts(cues: DataFrame) -> DataFrame:
+    """Cues written as WebVTT texts: id, text."""
+    one = F.concat(seconds_clock(F.col("start_sec")), F.lit(" --> "), seconds_clock(F.col("end_sec")), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n"))
+    rows = cues.select("id", F.struct("cue_no", one.alias("t")).alias("c")).groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return rows.select("id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda x: x["t"]), "\n")).alias("text"))
+
+
+def write_captions(cues: DataFrame, folder: str) -> None:
+    """One folder a text, named by its id, with its WebVTT text."""
+    caption_texts(cues).select("text", "id").write.mode("overwrite").partitionBy("id").text(folder)

@@ -72,7 +72,7 @@ SELECT rule, count(*) AS records FROM (
 GROUP BY rule"""
 )
 def gold_violations(spark, directory) -> DataFrame:
-    """VAL-01..VAL-03, FLT-20: rules that gold records break."""
+    """VAL-02, FLT-20: rules that gold records break."""
     g = table(spark, directory, "dev_gold")
     n = F.coalesce(F.size("gold_spans"), F.lit(0))
     n = F.when(F.col("gold_spans").isNull(), 0).otherwise(n)
@@ -97,7 +97,7 @@ def redelivered_chunks(spark, directory) -> DataFrame:
     """SELECT chunk_id, video_id, round(start_sec, 6) AS start_sec, created_at FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, video_id DESC) AS n FROM chunks WHERE created_at IS NOT NULL) WHERE n = 1"""
 )
 def latest_chunks(spark, directory) -> DataFrame:
-    """TOPK-05, AGG-32, WIN-10, SNK-02: last delivery of every chunk."""
+    """TOPK-05: last delivery of every chunk."""
     c = table(spark, directory, "chunks").filter("created_at IS NOT NULL").select("chunk_id", "video_id", "start_sec", "created_at")
     return merge.latest(c, ["chunk_id"], F.col("created_at"), [F.col("video_id")]).select("chunk_id", "video_id", F.round("start_sec", 6).alias("start_sec"), "created_at")
 
@@ -158,7 +158,7 @@ def json_patch(spark, directory) -> DataFrame:
 
 @R.query("SELECT frame_id, sha256(image_path) AS path_sha, substr(sha256(image_path), 1, 12) AS short FROM (SELECT DISTINCT frame_id, image_path FROM frame_samples WHERE image_path IS NOT NULL)")
 def path_hash(spark, directory) -> DataFrame:
-    """HSH-01, STR-17, IDG-02: hashes of frame paths, whole and short."""
+    """HSH-01, STR-17: hashes of frame paths, whole and short."""
     f = table(spark, directory, "frame_samples").filter("image_path IS NOT NULL").select("frame_id", "image_path").distinct()
     return f.select("frame_id", F.sha2("image_path", 256).alias("path_sha"), F.substring(F.sha2("image_path", 256), 1, 12).alias("short"))
 
@@ -170,24 +170,12 @@ def repeated_pictures(spark, directory) -> DataFrame:
     return f.groupBy("sha256").agg(F.count("frame_id").alias("frames"), F.countDistinct("video_id").alias("videos")).filter("frames > 1")
 
 
-@R.query(
-    """SELECT DISTINCT id, question_type, list_contains(modality, 'visual') AS visual, len(list_intersect(tags, ['slides_heavy', 'code_heavy', 'whiteboard', 'live_demo', 'diagram'])) > 0 AS visual_tags FROM dev_gold WHERE modality IS NOT NULL AND tags IS NOT NULL"""
-)
+@R.query("SELECT DISTINCT id, question_type, list_contains(tags, 'visual') AS tagged, len(list_intersect(tags, ['visual', 'captions', 'slides_heavy', 'code_heavy', 'whiteboard', 'live_demo', 'diagram'])) > 0 AS needs_frames FROM dev_gold WHERE tags IS NOT NULL")
 def tag_overlap(spark, directory) -> DataFrame:
-    """FLT-10, FLT-11, FLT-12, SET-03: gold records with a visual modality or tag."""
-    g = table(spark, directory, "dev_gold").filter("modality IS NOT NULL AND tags IS NOT NULL")
-    return g.select("id", "question_type", F.array_contains("modality", "visual").alias("visual"), F.arrays_overlap("tags", F.array(*[F.lit(t) for t in VISUAL_TAGS])).alias("visual_tags")).distinct()
-
-
-@R.query(
-    """WITH q AS (SELECT DISTINCT id, question FROM dev_gold WHERE question IS NOT NULL)
-SELECT id, CASE WHEN regexp_matches(lower(question), '\\b(compare|contrast|both|and\\s+\\w+\\s+(say|argue|claim|argues|says|claims))\\b') THEN 'synthesis' ELSE 'single_clip' END AS planned FROM q"""
-)
-def planned_type(spark, directory) -> DataFrame:
-    """STR-11, LOP-01: planned kind of a question by cue words."""
-    q = table(spark, directory, "dev_gold").filter("question IS NOT NULL").select("id", "question").distinct()
-    cue = F.lower("question").rlike(r"\b(compare|contrast|both|and\s+\w+\s+(say|argue|claim|argues|says|claims))\b")
-    return q.select("id", F.when(cue, "synthesis").otherwise("single_clip").alias("planned"))
+    """FLT-10, FLT-11, SET-03: gold records with a tag, and with any tag of those that need frames."""
+    g = table(spark, directory, "dev_gold").filter("tags IS NOT NULL")
+    wanted = F.array(*[F.lit(t) for t in ("visual", "captions", *VISUAL_TAGS)])
+    return g.select("id", "question_type", F.array_contains("tags", "visual").alias("tagged"), F.arrays_overlap("tags", wanted).alias("needs_frames")).distinct()
 
 
 @R.query(
@@ -205,7 +193,7 @@ def rendered_context(spark, directory) -> DataFrame:
 SELECT user_id, event_type, event_id, round(value, 6) AS value FROM e WHERE n = 1"""
 )
 def latest_event(spark, directory) -> DataFrame:
-    """STM-03, STM-04, SNK-10: state of every (user, kind) after all events: the last one."""
+    """State of every (user, kind) after all events: the last one."""
     e = table(spark, directory, "events").select("user_id", "event_type", "event_id", "value", "ts")
     return merge.latest(e, ["user_id", "event_type"], F.col("ts"), [F.col("event_id")]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
@@ -221,7 +209,7 @@ def events_by_hour(spark, directory) -> DataFrame:
     """WITH p AS (SELECT run_id, count(*) AS rows, count(DISTINCT example_id) AS examples, min(completed_at) AS first_at, max(completed_at) AS last_at FROM per_example GROUP BY run_id) SELECT * FROM p"""
 )
 def run_summary(spark, directory) -> DataFrame:
-    """AGG-27, TIM-04, SNK-14: rows, examples and time of each run."""
+    """AGG-27: rows, examples and time of each run."""
     return table(spark, directory, "per_example").groupBy("run_id").agg(F.count("*").alias("rows"), F.countDistinct("example_id").alias("examples"), F.min("completed_at").alias("first_at"), F.max("completed_at").alias("last_at"))
 
 
