@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 1_024
+#: Queries whose candidates are scored in one task.
+QUERIES_PER_TASK = 64
 
 
 def finite_vector(vec: Column) -> Column:
@@ -84,8 +86,55 @@ def exact_search(queries: DataFrame, rows: DataFrame, k: int, tokens: int = 1, d
     return top_k(near, ["qid"], "score", "id", k)
 
 
-def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Mean of the vectors of each key, component by component (rows of unequal length are an error)."""
-    parts = df.filter(F.col(vec).isNotNull()).select(key, F.posexplode(vec).alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("pooled"))
+def _interact(digits: int):
+    """Sum over a query's tokens of the best inner product with any token of a candidate, for the candidates of some queries."""
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(asks):
+            dim = len(asks.vec.iloc[0])
+            asks, rows = asks.sort_values(["qid", "position"], kind="stable"), rows.sort_values(["qid", "id"], kind="stable")
+            query, who = np.stack(asks.vec.to_numpy()).astype(np.float64), asks.qid.to_numpy()
+            qids, ids = rows.qid.to_numpy(), rows.id.to_numpy()
+            counts = np.array([len(t) // dim for t in rows.flat])
+            tokens = np.concatenate(list(rows.flat)).astype(np.float64).reshape(-1, dim)
+            upto = np.r_[0, np.cumsum(counts)]
+            for qid in np.unique(qids):
+                a, b = np.searchsorted(qids, qid, "left"), np.searchsorted(qids, qid, "right")
+                q = query[np.searchsorted(who, qid, "left") : np.searchsorted(who, qid, "right")]
+                if not len(q):
+                    continue
+                own, first = np.unique(ids[a:b], return_index=True)
+                best = np.maximum.reduceat(tokens[upto[a] : upto[b]] @ q.T, upto[a + first] - upto[a], axis=0)
+                out.append(pd.DataFrame({"qid": qid, "id": own, "score": np.round(best.sum(axis=1), digits)}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": rows.qid.iloc[:0], "id": rows.id.iloc[:0], "score": pd.Series([], dtype="float64")})
+
+    return run
+
+
+def late_interaction(candidates: DataFrame, query_tokens: DataFrame, tokens: DataFrame, by_part: bool = False, digits: int = 6) -> DataFrame:
+    """Late interaction scores (qid, id, score) of candidates (qid, id), or with ``by_part`` (qid, id, part) whose tokens are those of all parts.
+
+    ``query_tokens`` (qid, position, vec) and ``tokens`` (id, position, vec; with ``by_part`` id is the part) are token tables of
+    one dimension.  The tokens of a text lie in one row; the candidates of ``QUERIES_PER_TASK`` queries, which a
+    prefilter bounds, meet their queries' tokens in one task as matrix products.  ``query_tokens`` holds the asking queries only.  Candidates without tokens are not
+    scored.  One count of the queries runs when this is called.
+    """
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "vec"))), lambda s: s["vec"]))
+    held = tokens.groupBy("id").agg(flat.alias("flat"))
+    rows = candidates.join(held.withColumnRenamed("id", "part"), "part").select("qid", "id", "flat") if by_part else candidates.join(held, "id").select("qid", "id", "flat")
+    groups = max(1, math.ceil(query_tokens.select("qid").distinct().count() / QUERIES_PER_TASK))
+    group = F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("g")
+    shape = T.StructType([T.StructField("qid", candidates.schema["qid"].dataType), T.StructField("id", candidates.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    return rows.select("*", group).groupBy("g").cogroup(query_tokens.select("*", group).groupBy("g")).applyInPandas(_interact(digits), shape)
+
+
+def mean_pool(df: DataFrame, key: str, vec: str, dim: int | None = None) -> DataFrame:
+    """Mean of the vectors of each key, component by component: one average a component, with map-side combine.
+
+    ``dim`` defaults to that of the first vector; vectors of another dimension take no part.
+    """
+    first = dim or df.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).limit(1).collect()[0].d
+    own = df.filter(F.size(vec) == first)
+    means = own.groupBy(key).agg(*[F.avg(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"__{i}") for i in range(first)])
+    return means.select(key, F.array(*[f"__{i}" for i in range(first)]).alias("pooled"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkgrid.functions.columns import stop_sql, terms
 from talkgrid.operators import fusion, search
 from talkgrid.operators.intervals import bin_range_join, valid_span
-from talkgrid.operators.vectors import exact_search, finite_vector, mean_pool, top_k
+from talkgrid.operators.vectors import exact_search, finite_vector, late_interaction, mean_pool, top_k
 from talkgrid.plans.registry import Registry
 from talkgrid.tables import once, small, table
 
@@ -64,24 +64,26 @@ def dense_topk(spark, directory) -> DataFrame:
     return _dense(spark, directory, TOP)
 
 
-def _postings(spark, directory) -> DataFrame:
-    texts = table(spark, directory, "chunks").filter("chunk_id IS NOT NULL AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    return search.postings(texts, "chunk_id", "text")
+def _terms(spark, directory) -> DataFrame:
+    return search.term_rows(table(spark, directory, "chunks"), "chunk_id", "text")
 
 
-def _title_matches(spark, directory) -> DataFrame:
-    subject = F.regexp_replace("talk_title", " in practice$", "")
-    titles = table(spark, directory, "dev_gold").select(subject.alias("query"), subject.alias("title")).distinct()
-    return search.match_counts(titles, "query", "title", _postings(spark, directory))
+def _asked(spark, directory) -> DataFrame:
+    """What is asked: the questions, and the titles of their talks."""
+    gold = table(spark, directory, "dev_gold")
+    asked = F.explode(F.array("question", F.regexp_replace("talk_title", " in practice$", "")))
+    return gold.select(asked.alias("query")).filter("query IS NOT NULL").distinct().withColumn("text", F.col("query"))
 
 
-_TITLES_SQL = "WITH " + _MATCH_SQL.format(qid="subject", terms=_TERMS.format(t="subject"), source="(SELECT DISTINCT regexp_replace(talk_title, ' in practice$', '') AS subject FROM dev_gold WHERE talk_title IS NOT NULL)")
+_TITLES_SQL = "WITH " + _MATCH_SQL.format(
+    qid="subject", terms=_TERMS.format(t="subject"), source="(SELECT question AS subject FROM dev_gold WHERE question IS NOT NULL UNION SELECT regexp_replace(talk_title, ' in practice$', '') FROM dev_gold WHERE talk_title IS NOT NULL)"
+)
 
 
 @R.query(_TITLES_SQL + "SELECT qid AS query, id AS chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM m WHERE hits = wanted) WHERE rank <= 30")
 def fts_all_terms(spark, directory) -> DataFrame:
-    """FLT-02, STR-08, STR-10: chunks that hold every term of a talk's title, by Okapi BM25."""
-    return search.search_all_terms(_title_matches(spark, directory), TOP).select(F.col("qid").alias("query"), F.col("id").alias("chunk_id"), "score", "rank")
+    """FLT-02, STR-08, STR-10: chunks that hold every term of a question or title, by Okapi BM25."""
+    return search.search_all_terms(search.bm25(_asked(spark, directory), "query", "text", _terms(spark, directory), TOP), TOP).select(F.col("qid").alias("query"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @R.query(
@@ -90,8 +92,8 @@ def fts_all_terms(spark, directory) -> DataFrame:
 SELECT qid AS query, id AS chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 30"""
 )
 def fts_or_fallback(spark, directory) -> DataFrame:
-    """FLT-03: the same, with any-term matches for titles without an all-term match."""
-    return search.search_or_fallback(_title_matches(spark, directory), TOP).select(F.col("qid").alias("query"), F.col("id").alias("chunk_id"), "score", "rank")
+    """FLT-03: the same, with any-term matches where there is no all-term match."""
+    return search.search_or_fallback(search.bm25(_asked(spark, directory), "query", "text", _terms(spark, directory), TOP), TOP).select(F.col("qid").alias("query"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @R.query(
@@ -105,10 +107,20 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score
 )
 def sparse_topk(spark, directory) -> DataFrame:
     """JOIN-02, VEC-02, VEC-06: sparse inner products of held-out items with chunks."""
-    found = search.sparse_search(table(spark, directory, "held_out_items"), "item_id", "text", _postings(spark, directory), TOP)
+    found = search.sparse_search(table(spark, directory, "held_out_items"), "item_id", "text", _terms(spark, directory), TOP)
     return found.select(F.col("qid").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
+@R.query()
+def fts_websearch(spark, directory) -> DataFrame:
+    """STR-09: titles as web search queries over stemmed words: the title as a phrase, or its words without those of its reverse."""
+    title = F.regexp_replace("talk_title", " in practice$", "")
+    q = table(spark, directory, "dev_gold").filter("talk_title IS NOT NULL").select(title.alias("title")).distinct()
+    text = F.concat(F.lit('"'), "title", F.lit('" OR '), "title", F.lit(' -captions'))
+    found = search.websearch(q.select("title", text.alias("text")), "title", "text", table(spark, directory, "chunks"), "chunk_id", "text", TOP)
+    return found.select(F.col("qid").alias("title"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
 @R.query(f"SELECT id, CASE WHEN len(t) = 0 THEN NULL ELSE array_to_string(list_sort(t), ' | ') END AS expansion FROM (SELECT DISTINCT id, {_TERMS.format(t='question')} AS t FROM dev_gold WHERE question IS NOT NULL)")
 def query_expand_terms(spark, directory) -> DataFrame:
     """STR-08, FLT-18, SET-05: distinct search terms of every question."""
@@ -121,26 +133,31 @@ def _sparse(spark, directory, k: int) -> DataFrame:
     chunks = table(spark, directory, "chunks")
     fixed = chunks.filter("chunking_strategy = 'fixed_window'").select(F.col("chunk_id").alias("id")).distinct()
     asks = chunks.filter("chunk_id % 50 = 0 AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("text").alias("text"))
-    found = search.sparse_search(asks, "chunk_id", "text", _postings(spark, directory).join(fixed, "id", "left_semi"), k)
+    found = search.sparse_search(asks, "chunk_id", "text", _terms(spark, directory).join(fixed, "id", "left_semi"), k)
     return found.select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"))
 
 
 @R.query(
-    f"WITH {_VEC_SQL}"
-    + """, cand AS (SELECT query_id, chunk_id FROM d WHERE rank <= 100),
-p AS (SELECT c.query_id, c.chunk_id, q.vec AS a, r.vec AS b FROM cand c JOIN v q ON c.query_id = q.chunk_id JOIN v r ON c.chunk_id = r.chunk_id),
-e AS (SELECT query_id, chunk_id, i, max(list_inner_product(a[16 * i + 1 : 16 * i + 16], b[16 * j + 1 : 16 * j + 16])) AS best FROM p, range(4) x(i), range(4) y(j) GROUP BY ALL),
+    f"WITH {_POST_SQL.strip()} {_VEC_SQL}"
+    + """, dots AS (SELECT a.id AS query_id, b.id AS chunk_id, sum(a.tf * b.tf) AS dot FROM post a JOIN post b USING (term) WHERE a.id % 50 = 0 AND b.id IN (SELECT chunk_id FROM fw) GROUP BY ALL),
+sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, chunk_id) AS rank FROM dots),
+cand AS (SELECT query_id, chunk_id FROM d WHERE rank <= 100 UNION SELECT query_id, chunk_id FROM sp WHERE rank <= 100),
+tk AS (SELECT chunk_id, unnest(range(4)) AS n, vec FROM v),
+p AS (SELECT c.query_id, c.chunk_id, q.n AS i, list_inner_product(q.vec[16 * q.n + 1 : 16 * q.n + 16], r.vec[16 * r.n + 1 : 16 * r.n + 16]) AS dot FROM cand c JOIN tk q ON c.query_id = q.chunk_id JOIN tk r ON c.chunk_id = r.chunk_id),
+e AS (SELECT query_id, chunk_id, i, max(dot) AS best FROM p GROUP BY ALL),
 s AS (SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM e GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 30"""
 )
 def maxsim_multivec(spark, directory) -> DataFrame:
-    """SET-01, JOIN-12, AGG-04, TOPK-03: late interaction over the 100 nearest chunks by vector and the 100 by terms, four tokens a vector."""
+    """SET-01, JOIN-12, AGG-04, TOPK-03, VEC-03: late interaction over the 100 nearest chunks by vector and the 100 by terms.
+
+    The tables hold no token vectors; four slices of the dense vector are the tokens, as rows of a token table.
+    """
     vecs = _vectors(spark, directory).filter(finite_vector(F.col("vec")) & (F.size("vec") == 64)).groupBy("id").agg(F.min("vec").alias("vec"))
+    tokens = vecs.select("id", F.posexplode(F.array(*[F.slice("vec", 16 * i + 1, 16) for i in range(4)])).alias("position", "vec"))
     cand = _dense(spark, directory, PREFILTER).select("query_id", "chunk_id").unionByName(_sparse(spark, directory, PREFILTER)).distinct()
-    pairs = cand.join(vecs.select(F.col("id").alias("query_id"), F.col("vec").alias("a")), "query_id").join(vecs.select(F.col("id").alias("chunk_id"), F.col("vec").alias("b")), "chunk_id")
-    dot = lambda i, j: F.aggregate(F.zip_with(F.slice("a", 16 * i + 1, 16), F.slice("b", 16 * j + 1, 16), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = sum((F.greatest(*[dot(i, j) for j in range(4)]) for i in range(4)), F.lit(0.0))
-    return top_k(pairs.select("query_id", "chunk_id", F.round(score, 6).alias("score")), ["query_id"], "score", "chunk_id", TOP)
+    found = late_interaction(cand.select(F.col("query_id").alias("qid"), F.col("chunk_id").alias("id")), tokens.filter("id % 50 = 0").withColumnRenamed("id", "qid"), tokens)
+    return top_k(found.select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"), "score"), ["query_id"], "score", "chunk_id", TOP)
 
 
 _FRAME_SQL = f"""
@@ -205,12 +222,11 @@ def visual_chunks_maxsim(spark, directory) -> DataFrame:
     near = _frames(spark, directory, FRAME_PREFILTER).select("query_id", "frame_id")
     placed = near.join(_frame_times(spark, directory), "frame_id")
     hit = bin_range_join(placed, _spans(spark, directory), "video_id", "frame_sec", "start_sec", "end_sec").select("query_id", "chunk_id", "frame_id").distinct()
-    vecs = table(spark, directory, "frame_samples").filter("pooled_embedding IS NOT NULL").groupBy("frame_id").agg(F.min("pooled_embedding").alias("vec"))
-    pairs = hit.join(vecs.select(F.col("frame_id").alias("query_id"), F.col("vec").alias("a")), "query_id").join(vecs.select("frame_id", F.col("vec").alias("b")), "frame_id")
-    dot = lambda i, j: F.aggregate(F.zip_with(F.slice("a", 8 * i + 1, 8), F.slice("b", 8 * j + 1, 8), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    best = pairs.groupBy("query_id", "chunk_id").agg(*[F.max(F.greatest(*[dot(i, j) for j in range(4)])).alias(f"m{i}") for i in range(4)])
-    scored = best.select("query_id", "chunk_id", F.round(F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3"), 6).alias("score"))
-    return top_k(scored, ["query_id"], "score", "chunk_id", TOP)
+    vecs = table(spark, directory, "frame_samples").filter(finite_vector(F.col("pooled_embedding")) & (F.size("pooled_embedding") == 32)).groupBy("frame_id").agg(F.min("pooled_embedding").alias("vec"))
+    patches = vecs.select("frame_id", F.posexplode(F.array(*[F.slice("vec", 8 * i + 1, 8) for i in range(4)])).alias("position", "vec"))
+    # a chunk's patches are those of all its hit frames
+    found = late_interaction(hit.select(F.col("query_id").alias("qid"), F.col("chunk_id").alias("id"), F.col("frame_id").alias("part")), patches.filter("frame_id % 50 = 0").withColumnRenamed("frame_id", "qid"), patches.withColumnRenamed("frame_id", "id"), by_part=True)
+    return top_k(found.select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"), "score"), ["query_id"], "score", "chunk_id", TOP)
 
 
 @R.query(
@@ -222,7 +238,7 @@ SELECT video_id, round(sqrt(sum(x * x)), 6) AS norm, count(*) AS dims FROM m GRO
 def video_mean_pool(spark, directory) -> DataFrame:
     """AGG-05: mean pooled vector of each video, shown by its length."""
     v = table(spark, directory, "frame_samples").filter("pooled_embedding IS NOT NULL").groupBy("frame_id").agg(F.first("video_id").alias("video_id"), F.min("pooled_embedding").alias("vec")).filter("size(vec) = 32")
-    pooled = mean_pool(v, "video_id", "vec")
+    pooled = mean_pool(v, "video_id", "vec", 32)
     return pooled.select("video_id", F.round(F.sqrt(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.size("pooled").cast("bigint").alias("dims"))
 
 
