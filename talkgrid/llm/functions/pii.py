@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -105,12 +106,19 @@ _NOT_NEAR = re.compile(rf"\b(?:{NOT_PERSONAL})[ :#.]*$", re.I)
 _ID_NEAR = re.compile(rf"\b(?:{ID_WORDS})\b", re.I)
 
 
+@functools.lru_cache(maxsize=8)
+def _gate(forms: tuple[re.Pattern, ...]) -> re.Pattern:
+    """One pattern that matches wherever one of the forms does."""
+    return re.compile("|".join(f"(?:{f.pattern})" for f in forms), re.I)
+
+
 def _matches(text: str, starts: list[int], forms: list, lead: int):
     """Matches of the forms that start at a number or up to ``lead`` characters before it."""
     seen = set()
+    gate = _gate(tuple(f[1] for f in forms)).match
     for n in starts:
         for p in range(max(0, n - lead), n + 1):
-            if p < n and text[p].isdigit():
+            if p < n and text[p].isdigit() or gate(text, p) is None:
                 continue
             for form in forms:
                 m = form[1].match(text, p)
@@ -408,7 +416,11 @@ def names(text: str, seeds: Seeds, marks: list[Found]) -> list[Found]:
     """
     given = seeds.given
     starts: set[int] = set()
+    told = "told" in text
     for end, (kind, word) in _hits(text, seeds):
+        # "as" counts only where somebody told something
+        if word == "as" and not told:
+            continue
         begin = end - len(word)
         if kind == "given":
             if (begin and text[begin - 1].isalnum()) or text[end : end + 1].isalnum():
