@@ -145,3 +145,15 @@ def test_sink_rewrites_touched_partitions_only(spark, tmp_path):
     assert len([v for v in versions.values() if v == 2]) <= 3 and len(versions) == 8
     kids = events.fan_out(spark.createDataFrame([("v", [1, 2])], "v string, frames array<int>"), "v", "frames", "embed").collect()
     assert [(r.entity, r.status) for r in kids] == [(1, "pending"), (2, "pending")]
+
+
+def test_redelivered_events_count_once_on_a_stream(spark, tmp_path):
+    rows = [("a", "2026-01-01 00:00:00", 1), ("a", "2026-01-01 00:00:00", 1), ("b", "2026-01-01 00:05:00", 2)]
+    schema = "k string, ts timestamp, n int"
+    df = spark.createDataFrame(rows, "k string, ts string, n int").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(2):
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/p{part}"))
+    seen = []
+    query = events.once_each(spark.readStream.schema(schema).parquet(str(tmp_path / "in/*")), ["k"], "ts").writeStream.foreachBatch(lambda b, i: seen.extend(r.k for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(seen) == ["a", "b"]
