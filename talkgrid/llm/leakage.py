@@ -55,9 +55,20 @@ class Items:
         return out
 
 
+#: The items last used in this process, with the rows they were made of.
+_LAST: list[tuple] = []
+
+
+def _held_items(rows: list[tuple], k: int, window: int) -> Items:
+    """The items of broadcast rows, prepared once a process rather than once a task."""
+    if not _LAST or _LAST[0][0] is not rows or _LAST[0][1:3] != (k, window):
+        _LAST[:] = [(rows, k, window, Items(rows, k, window))]
+    return _LAST[0][3]
+
+
 def _in_pass(rows, k: int, window: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(rows.value, k, window)
+        items = _held_items(rows.value, k, window)
         for pdf in batches:
             found = [(d, *leak) for d, text in zip(pdf.d, pdf.dt) for leak in items.leaks(text, least)]
             yield pd.DataFrame(found, columns=["d", "i", "words", "at"])
