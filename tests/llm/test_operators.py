@@ -11,6 +11,7 @@ from talkgrid.llm.functions.passages import gram_hashes, longest_common_run, pas
 from talkgrid.llm.functions.pii import Seeds, details, luhn, mod11_10, mod97, redact, spanish
 from talkgrid.llm.functions.splitting import split_text, token_spans
 from talkgrid.llm.leakage import leaked_passages
+from talkgrid.llm import mixing
 from talkgrid.llm.mixing import mix_to_targets
 from talkgrid.llm.nearest import nearest_in_time
 from talkgrid.llm import overlap
@@ -396,6 +397,41 @@ def test_mix_reaches_shares_within_caps(spark):
     assert mix_to_targets(docs.limit(0), goal, "doc_id", "text", "source", "share", "cap").report.count() == 4
 
 
+def test_membership_is_the_whole_posterior():
+    flat, base = np.full(10, 0.1), np.arange(1.0, 11) / 55
+    assert np.allclose(mixing.membership(flat, base, -1), flat)
+    rare = np.array([0.9] + [0.1 / 9] * 9)
+    assert np.allclose(mixing.membership(rare, base, -1), rare)
+    marked = rare / base * np.where(np.arange(10) == 4, mixing.LABEL_PRIOR, (1 - mixing.LABEL_PRIOR) / 9)
+    assert np.allclose(mixing.membership(rare, base, 4), marked / marked.sum()) and (marked > 0).all()
+
+
+def test_mix_spreads_soft_members_over_all_sources(spark, monkeypatch):
+    rng = random.Random(19)
+    names = "abcdef"
+    rows = [(len(names) * k + i, s, " ".join(rng.choice(WORDS[10 * i : 10 * i + 12]) for _ in range(30))) for i, s in enumerate(names) for k in range(60)]
+    # words of all six sources alike
+    rows += [(10_000 + k, None, " ".join(rng.choice(WORDS[10 * i : 10 * i + 10]) for i in range(6) for _ in range(5))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    goal = spark.createDataFrame([(s, 1 / 6, 2) for s in names], "source string, share double, cap int")
+
+    def mixed():
+        mix = mix_to_targets(docs, goal, "doc_id", "text", "source", "share", "cap")
+        return mix.report.collect(), {r.doc_id: r.copies for r in mix.documents.collect()}
+
+    report, copies = mixed()
+    soft = sum(copies[10_000 + k] for k in range(60))
+    assert soft > 0 and all(r.soft_tokens > 0.05 * sum(x.soft_tokens for x in report) for r in report)
+    assert all(abs(r.reached_share - 1 / 6) < 0.01 and r.residual <= 1e-5 for r in report)
+    # not less than the labelled texts alone give, and every text within its cap
+    assert sum(r.mixed_tokens + r.soft_tokens for r in report) > 0.95 * 2 * 6 * min(r.available_tokens for r in report) and max(copies.values()) <= 2
+    # the rounds as distributed sums, in small slices
+    monkeypatch.setattr(mixing, "HELD_TEXTS", 0)
+    monkeypatch.setattr(mixing, "SLICE_CELLS", 100)
+    again, others = mixed()
+    assert others == copies and [r.rounds for r in again] == [r.rounds for r in report]
+
+
 # --- 10 personal details -------------------------------------------------------------------------
 def test_checksums():
     assert luhn("79927398713") and not luhn("79927398710") and mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765431")
